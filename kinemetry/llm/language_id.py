@@ -131,7 +131,7 @@ class Models:
 
 def _kneser_ney(languages: list[str], counts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> Models:
     """Interpolated Kneser-Ney models from the counts of the ORDER-grams and of shorter starts."""
-    alphabet = np.unique(np.concatenate([counts[x, 1][0] for x in languages if (x, 1) in counts]))
+    alphabet = np.unique(np.concatenate([key & ((1 << BITS) - 1) for key, _ in counts.values()]))
     uniform = 1.0 / (len(alphabet) + 1)
     own: list[list[dict]] = []
     for x in languages:
