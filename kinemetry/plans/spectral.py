@@ -100,7 +100,7 @@ def comb_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _spectrum(spark, sf_dir).where("k > 0").groupBy("label", "k").agg(F.avg("mag").alias("mag"))
     middle = s.groupBy("label").agg(F.percentile("mag", F.lit(0.5)).alias("mid"))
     near = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda h: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.struct(h.alias("h"), (F.col("f0") * h + d).alias("k"))))))
-    grid = s.where("k between 3 and 12").select("label", F.col("k").alias("f0"), near.alias("n")).select("label", "f0", "n.h", "n.k")
+    grid = s.where("k between 3 and 12").select("label", F.col("k").alias("f0")).select("label", "f0", near.alias("n")).select("label", "f0", "n.h", "n.k")
     tops = grid.join(s, ["label", "k"]).groupBy("label", "f0", "h").agg(F.max("mag").alias("top"))
     return (tops.join(middle, "label").groupBy("label", "f0").agg(F.count("*").alias("harmonics"), F.avg(F.col("top") / F.col("mid")).alias("comb"))
             .select("label", F.col("f0").cast("long").alias("f0"), "harmonics", F.round(F.when(F.col("harmonics") >= 3, F.col("comb")).otherwise(0.0), 5).alias("score")))
