@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinemetry.plans import evaluation, monitoring, serving, spectral
+from kinemetry.plans import evaluation, learning, monitoring, serving, spectral
 
-_MODULES = (monitoring, serving, spectral, evaluation)
+_MODULES = (monitoring, serving, spectral, evaluation, learning)
 
 
 def queries() -> dict:
