@@ -98,8 +98,9 @@ def scores(windows: DataFrame, models: DataFrame, regime: str = "regime", x: str
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
+    # not below zero but by rounding
     squared = dot(F.transform("_precision", lambda row: dot(row, F.col("_off"))), F.col("_off"))
-    return both.withColumn("score", F.sqrt(F.when(squared < 0, 0.0).otherwise(squared))).drop("_regime", "_mean", "_precision", "_off")
+    return both.withColumn("score", F.sqrt(F.abs(squared))).drop("_regime", "_mean", "_precision", "_off")
 
 
 def chi2_cdf(v: float, nu: float) -> float:
