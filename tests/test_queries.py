@@ -1,7 +1,13 @@
+import numpy as np
 import pytest
 from compare import same
 
-from kinemetry.plans import catalog
+from kinemetry.operators import baseline, features
+from kinemetry.plans import catalog, learning
+from kinemetry.sources.readings import table
+
+#: Queries with filters or a chi-square quantile, which SQL lacks; tested below by computing their rows another way.
+WITHOUT_SQL = {"features37", "learned_thresholds"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -10,7 +16,31 @@ def test_against_sql(spark, data, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql()) | WITHOUT_SQL
+
+
+def test_features37(spark, data):
+    e = {r.vec_id: np.array(r.embedding, float) for r in table(spark, data, "embeddings").collect()}
+    got = {(r.window, r.i): r.value for r in catalog.queries()["features37"](spark, data).collect()}
+    whole = [w for w in range(max(e) // learning.VECTORS + 1) if all(w * learning.VECTORS + i in e for i in range(learning.VECTORS))]
+    assert whole and set(got) == {(w, i) for w in whole for i in range(37)}
+    for w in whole:
+        x = np.concatenate([e[w * learning.VECTORS + i] for i in range(learning.VECTORS)])
+        want = features.features(x, 16000.0, np.stack([x, 0 * x, 0 * x]), 6400.0)["vector"]
+        assert np.allclose([got[w, i] for i in range(37)], want, atol=2e-5)
+
+
+def test_learned_thresholds(spark, data):
+    e = [(r.vec_id, r.label, np.array(r.embedding[:2], float)) for r in table(spark, data, "embeddings").collect()]
+    got = {r.label: r for r in catalog.queries()["learned_thresholds"](spark, data).collect()}
+    for label in {k for _, k, _ in e}:
+        own = [(i % 5, x) for i, k, x in e if k == label]
+        folds = {f: baseline.model_of(baseline._sums(np.array([x for g, x in own if g != f]))) for f, _ in own}
+        fair = len(own) >= 15
+        one = baseline.model_of(baseline._sums(np.array([x for _, x in own])))
+        m = [(x - (folds[f] if fair else one)["mean"], np.array((folds[f] if fair else one)["precision"])) for f, x in own]
+        d = np.sqrt([z @ p @ z for z, p in m])
+        assert got[label].n == len(own) and abs(got[label].empirical - np.quantile(d, 0.995) * (1 if fair else 1.5)) < 1e-3
 
 
 def test_entry(spark):
