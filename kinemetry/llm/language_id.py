@@ -26,6 +26,9 @@ DOCS_PER_LANGUAGE, LETTERS_PER_DOC = 600, 20_000
 #: Of 5 sampled documents, one is not counted but calibrates the rejection.
 CALIBRATE_ONE_IN = 5
 WINDOW = 100
+#: Parts of a language that are ranked apart, each count dividing the one before, down to the whole: one language may
+#: hold most rows, and no later step ranks more than 16 parts' rows in one task.
+PARTS = (256, 16, 1)
 BITS, BLOCK = 12, 1_000_000
 SPACE = 32
 
@@ -204,8 +207,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where(
         f"lang is not null and text is not null and length(text) between 1 and {LETTERS_PER_DOC}"
     ).withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= docs_per_language)
+    least = rows.select("lang", "h").distinct()
+    # a language's least hashes are among the least of each of its parts, and those are a bounded number of rows
+    for parts in PARTS:
+        rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h"))
+        least = least.withColumn("r", rank).where(F.col("r") <= docs_per_language).drop("r")
     most = {r.lang: r.h for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not most:
         raise ValueError("no labelled text to learn languages from")
