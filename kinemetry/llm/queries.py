@@ -36,7 +36,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+    return token_counts.with_merge_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ programming carries the best score and its piece count to every place. Of equal
 found first stands, the one whose last piece starts earlier, as the unigram tokenizers have it. A
 character that no piece of one character covers costs the least score less ten and counts as its
 UTF-8 bytes. No piece has a space mark behind another character, so a text falls into stretches at
-its spaces, and each different stretch of a block is scored once."""
+its spaces, and each different stretch of a block is scored once.
+
+This is right for unigram scores only. The scores of a BPE file are the order of its merges, whose sum
+means nothing; `with_merge_counts` counts such a file's pieces by its merges."""
 
 from __future__ import annotations
 
@@ -111,3 +114,25 @@ def with_counts(df: DataFrame, vocabulary_path: str, text: str = "text", to: str
         return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
 
     return df.withColumn(to, of(F.col(f"`{text}`")))
+
+
+@cache
+def _processor(path: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def with_merge_counts(df: DataFrame, model_path: str, text: str = "text", to: str = "n_tokens") -> DataFrame:
+    """`df` with the number of pieces that a sentencepiece file's own tokenizer makes of the whole text
+    (long), without special tokens: a BPE file's by the order of its merges.
+
+    A null or empty text has 0. Repeated rows get equal results, an empty table an empty result; an
+    input column of the result's name is replaced."""
+
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        full, out = [t or "" for t in texts.to_pylist()], []
+        for a, b in blocks(np.array([len(t) for t in full]), BLOCK):
+            out += map(len, _processor(model_path).encode(full[a:b], num_threads=1))
+        return pa.array(out, pa.int64())
+
+    return df.withColumn(to, of(F.col(f"`{text}`")))

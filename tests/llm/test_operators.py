@@ -111,6 +111,19 @@ def test_token_counts_are_the_unigram_tokenizers(spark):
     assert [r.n_tokens for r in token_counts.with_counts(docs(spark, texts[:12]), public_tokenizers.path("piece_bpe_32k.model")).collect()] == want[:12]
 
 
+def test_token_counts_query_is_the_files_tokenizer(spark, data):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {r.doc_id: r.text or "" for r in common.table(spark, data, "documents").collect()}
+    assert {r.doc_id: r.n_tokens for r in queries.op5_token_counts(spark, data).collect()} == {d: len(p.encode(t)) for d, t in texts.items()}
+    known = {"the": 1, "the house is on the hill and the device is on": 11, "information technology and the government of the people": 8}
+    got = token_counts.with_merge_counts(docs(spark, [*known, *ODD]), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [*known.values(), *(len(p.encode(t or "")) for t in ODD)] and got[0].fp == "extra"
+    assert token_counts.with_merge_counts(docs(spark, ODD).limit(0), path).count() == 0
+
+
 def test_fingerprints():
     def brute(text):
         w = bytes(ord(c) + 32 if 65 <= c_ <= 90 else c_ for c, c_ in ((chr(b), b) for b in text.encode())).split()
