@@ -208,6 +208,23 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_lines_of_few_words(spark):
+    r = random.Random(3)
+    texts = ["\n".join(" ".join(r.choice("abcdefg") for _ in range(r.randrange(0, 8))) for _ in range(r.randrange(1, 12))) for _ in range(40)]
+    texts += ["so\nSO so\n \n\n \nno", "p q r s t\nq p s r\nq p s\np q s r t u"]
+    earlier, want = [], []
+    for t in texts:
+        kept, lines = [], t.split("\n")
+        for line in lines:
+            s = set(line.lower().split())
+            if not s or not any(5 * len(s & e) >= 4 * len(s | e) for e in earlier):
+                kept.append(line)
+            earlier.append(s)
+        want.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+    assert want[-2][0] == "so\n \n\n \nno" and want[-1][0] == "p q r s t\nq p s"
+    assert [(x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()] == want
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "", None, "<\\|x <\\\\| <|", "é\n\U0001f600", "<", "|im_end|>"]
     rows = [(i % 3, i, ("user", "assistant", "a\nb\\<|")[i % 3], t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (2, 1, "assistant", "tie")]
