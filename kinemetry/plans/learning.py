@@ -1,4 +1,4 @@
-"""Learn queries: each label of `embeddings` is a regime, its first two components the features."""
+"""Learn queries: each label of `embeddings` is a regime, the whole vector the features."""
 
 from __future__ import annotations
 
@@ -10,14 +10,13 @@ from kinemetry.sources.readings import table
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
 def ledoit_wolf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shrunk covariance of each regime."""
+    """Shrunk covariance of each regime, all its rows."""
     m = baseline.learn(_windows(spark, sf_dir), "label")
-    c = F.col("covariance")
-    return m.select("label", "n", F.round("shrinkage", 6).alias("shrinkage"), F.round(c[0][0], 6).alias("c00"), F.round(c[0][1], 6).alias("c01"), F.round(c[1][1], 6).alias("c11"))
+    return m.select("label", "n", F.round("shrinkage", 6).alias("shrinkage"), F.transform("covariance", lambda row: F.transform(row, lambda v: F.round(v, 6))).alias("covariance"))
 
 
 def mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from compare import same
+from test_baseline import brute
 
 from kinemetry.operators import baseline, features
 from kinemetry.plans import catalog, learning
@@ -43,6 +44,29 @@ def test_learned_thresholds(spark, data):
         assert got[label].n == len(own) and abs(got[label].empirical - np.quantile(d, 0.995) * (1 if fair else 1.5)) < 1e-3
 
 
+def test_learn_queries_read_the_whole_vector(spark, data):
+    e = [(r.vec_id, r.label, np.array(r.embedding, float)) for r in table(spark, data, "embeddings").collect()]
+    got = {name: catalog.queries()[name](spark, data).collect() for name in ("ledoit_wolf", "mahalanobis", "held_out_distance", "learned_thresholds")}
+    models = {r.label: r for r in got["ledoit_wolf"]}
+    near, fair = ({r.vec_id: r.score for r in got[name]} for name in ("mahalanobis", "held_out_distance"))
+    limits = {r.label: r for r in got["learned_thresholds"]}
+    assert set(models) == set(limits) == {k for _, k, _ in e} and set(near) == set(fair) == {i for i, _, _ in e}
+
+    def distance(x, model):
+        return np.sqrt((x - model[0]) @ np.linalg.pinv(model[2], hermitian=True) @ (x - model[0]))
+
+    for label in models:
+        own = [(i, x) for i, k, x in e if k == label]
+        whole = brute(np.array([x for _, x in own]))
+        assert models[label].n == len(own) and abs(models[label].shrinkage - whole[1]) < 2e-6
+        assert np.allclose(models[label].covariance, whole[2], atol=2e-6) and np.shape(models[label].covariance) == (64, 64)
+        folds = {f: brute(np.array([x for i, x in own if i % 5 != f])) for f in range(5)}
+        assert np.allclose([near[i] for i, _ in own], [distance(x, whole) for _, x in own], atol=1e-4)
+        assert np.allclose([fair[i] for i, _ in own], held := [distance(x, folds[i % 5]) for i, x in own], atol=1e-4)
+        if len(own) >= 15:
+            assert abs(limits[label].empirical - np.quantile(held, 0.995)) < 1e-3
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
