@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +59,29 @@ def curve_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("z", nxt).where("y <= 60 and z > 60").select("regime", F.round((F.col("i") + (60 - F.col("y")) / (F.col("z") - F.col("y"))) / 10, 6).alias("level"))
 
 
+REPLICATES = 200
+
+
+def _weight(row: str, replicate: str) -> F.Column:
+    """How often a replicate draws a row: Poisson(1) at 53 bits of a hash of both."""
+    u = F.xxhash64(row, replicate).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    steps = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(18)))
+    w = F.when(u < steps[0], 0)
+    for k, step in enumerate(steps[1:], 1):
+        w = w.when(u < step, k)
+    return w.otherwise(len(steps))
+
+
+def _replicates(readings: DataFrame) -> DataFrame:
+    """(regime, b, m): each regime's mean in each replicate; null where it draws none of its rows."""
+    r = readings.select("regime", "score", "event_id", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES))).alias("b")).withColumn("w", _weight("event_id", "b"))
+    return r.groupBy("regime", "b").agg(F.try_divide(F.sum(F.col("score") * F.col("w")), F.sum("w")).alias("m"))
+
+
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence limits of each regime's mean over 200 replicates. A row's weight in a replicate is a
-    hash of both, so the resample is the same on every run."""
-    r = _readings(spark, sf_dir).select("regime", "score", "event_id", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
-    w = F.pmod(F.col("event_id") * 7919 + F.col("b") * 104729, F.lit(13)) % 3
-    m = r.groupBy("regime", "b").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("m"))
+    """Confidence limits of each regime's mean over REPLICATES replicates. A row's weight in a replicate is
+    drawn by a hash of both, so the resample is the same on every run."""
+    m = _replicates(_readings(spark, sf_dir))
     return m.groupBy("regime").agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 

@@ -4,7 +4,7 @@ from compare import same
 from test_baseline import brute
 
 from kinemetry.operators import baseline, features
-from kinemetry.plans import catalog, learning
+from kinemetry.plans import catalog, evaluation, learning
 from kinemetry.sources.readings import table
 
 #: Queries with filters or a chi-square quantile, which SQL lacks; tested below by computing their rows another way.
@@ -67,6 +67,23 @@ def test_learn_queries_read_the_whole_vector(spark, data):
             assert abs(limits[label].empirical - np.quantile(held, 0.995)) < 1e-3
 
 
+def test_bootstrap_replicates_differ(spark, data):
+    rows = [(r.event_type, r.event_id, r.value) for r in table(spark, data, "events").collect()]
+    df = spark.createDataFrame(rows, "regime string, event_id long, score double")
+    means = {}
+    for r in evaluation._replicates(df).collect():
+        means.setdefault(r.regime, {})[r.b] = r.m
+    got = {r.regime: r for r in catalog.queries()["bootstrap_ci"](spark, data).collect()}
+    assert set(got) == set(means) == {k for k, _, _ in rows}
+    for regime, m in means.items():
+        own = np.array([v for k, _, v in rows if k == regime])
+        assert len(set(m.values())) == len(m) == 200
+        assert 0.75 < np.std(list(m.values())) / (own.std() / len(own) ** 0.5) < 1.25
+        assert np.allclose((got[regime].low, got[regime].high), np.quantile(list(m.values()), (0.025, 0.975)), atol=2e-6)
+    w = np.array([r.w for r in spark.range(40_000).selectExpr("id", "id % 200 as b").select(evaluation._weight("id", "b").alias("w")).collect()])
+    assert abs((w == 0).mean() - np.exp(-1)) < 0.02 and abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
