@@ -83,10 +83,10 @@ def headroom_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occupancy_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(F.col("t") / 86400)
-    regimes = ["click", "error", "purchase", "signup", "view"]
-    n = _readings(spark, sf_dir).withColumn("day", day).groupBy("day").pivot("regime", regimes).agg(F.count(F.lit(1)))
-    whole = sum((F.coalesce(F.col(x), F.lit(0)) for x in regimes), F.lit(0))
-    return n.select("day", *[F.round(F.coalesce(F.col(x), F.lit(0)) / whole, 6).alias(x) for x in regimes])
+    n = _readings(spark, sf_dir).withColumn("day", day).groupBy("day").pivot("regime").agg(F.count(F.lit(1)))
+    share = {x: F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in n.columns if x != "day"}
+    whole = sum(share.values(), F.lit(0))
+    return n.select("day", *[F.round(c / whole, 6).alias(x) for x, c in share.items()])
 
 
 def false_alarm_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,8 @@ def retrain_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_by_regime_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86400)).groupBy("day").pivot("regime", ["click", "error", "view"]).agg(F.round(F.max("score"), 6))
+    """Worst score of each day, a column for every regime of the table."""
+    return _readings(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86400)).groupBy("day").pivot("regime").agg(F.round(F.max("score"), 6))
 
 
 def coerce_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from compare import same
 from test_baseline import brute
 
@@ -84,6 +85,21 @@ def test_bootstrap_replicates_differ(spark, data):
     assert abs((w == 0).mean() - np.exp(-1)) < 0.02 and abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06
 
 
+def test_pivots_have_every_regime(spark, data, tmp_path):
+    events = table(spark, data, "events").withColumn("event_type", F.expr("if(event_id % 10 = 3, 'new.type', event_type)"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(int(r.s // 86400), r.event_type, r.value) for r in events.selectExpr("unix_micros(cast(ts as timestamp)) / 1e6 as s", "event_type", "value").collect()]
+    worst, shares = ({r.day: r.asDict() for r in catalog.queries()[n](spark, str(tmp_path)).collect()} for n in ("severity_by_regime_pivot", "occupancy_daily"))
+    regimes = {k for _, k, _ in rows}
+    assert len(regimes) == 6 and set(worst) == set(shares) == {d for d, _, _ in rows}
+    for day in worst:
+        assert set(worst[day]) == set(shares[day]) == regimes | {"day"}
+        for k in regimes:
+            own = [v for d, x, v in rows if (d, x) == (day, k)]
+            assert worst[day][k] == (round(max(own), 6) if own else None)
+            assert abs(shares[day][k] - len(own) / sum(d == day for d, _, _ in rows)) < 1e-6
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
