@@ -96,7 +96,7 @@ OP4 = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 l AS (SELECT doc_id, i AS pos, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM d)),
 t AS (SELECT *, list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda w: w <> '')) AS s FROM l),
-s AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS k, doc_id, pos, s, len(s) AS n FROM t WHERE len(s) >= 5),
+s AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS k, doc_id, pos, s, len(s) AS n FROM t WHERE len(s) >= 1),
 w AS (SELECT k, n, unnest(s) AS word FROM s),
 o AS (
   SELECT a.k, max(a.n) AS na, b.k AS kb, max(b.n) AS nb, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND b.k < a.k
