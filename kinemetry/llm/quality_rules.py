@@ -2,11 +2,15 @@
 
 zstandard ratios (compressed over plain bytes) of the whole text and of fixed chunks tell
 repetitive text (low) and noise (high). What is usual depends on how much text is compressed, so
-the limits are given per length. Word counts and a few plain rules stand beside them.
+the limits are fitted per length, on the ratios of all texts that pass the plain word rules: their
+median less and plus so many deviations, where quartiles give the deviation of either side. The
+fit is a table of counts per length and ratio, of a size that does not grow with the corpus.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -18,11 +22,14 @@ from pyspark.sql import functions as F
 from kinemetry.llm.common import chosen, text_bytes
 
 LEVEL, CHUNK = 3, 4096
-#: Lengths in bytes and the least and greatest ratio allowed from there on. Below 256 bytes a
-#: frame's own cost rules the ratio, so only noise that grows in compression is rejected there.
+#: Lengths in bytes and the least and greatest ratio allowed from there on, whatever the corpus. Below
+#: 256 bytes a frame's own cost rules the ratio, so only noise that grows in compression is rejected there.
 BANDS = ((0, 0.0, 2.0), (256, 0.22, 0.92), (1024, 0.20, 0.80), (4096, 0.18, 0.72), (16384, 0.16, 0.66), (65536, 0.14, 0.62))
 #: Of the chunks of CHUNK bytes, so large a share may lie outside the band of that length.
 BAD_CHUNKS = 0.5
+#: Fitted limits: deviations from the median, parts of an octave of length that share limits, texts
+#: (or chunks) from which a length is fitted, and steps of the ratio that are told apart.
+DEVIATIONS, PER_OCTAVE, LEAST_TEXTS, STEPS = 4.0, 2, 100, 1000
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -59,13 +66,39 @@ def repeated_words(words: list[bytes]) -> int:
     return int(word.sum())
 
 
-def in_band(ratio: float, size: int) -> bool:
+@dataclass
+class Limits:
+    """Fitted bounds of the ratio: by length class of whole texts, and of a chunk; none where too few were seen."""
+
+    whole: dict[int, tuple[float, float]] = field(default_factory=dict)
+    chunk: tuple[float, float] | None = None
+
+
+def length_class(size: int) -> int:
+    return int(math.log2(size) * PER_OCTAVE) if size else 0
+
+
+def in_band(ratio: float, size: int, fitted: tuple[float, float] | None = None) -> bool:
     _, low, high = next(b for b in reversed(BANDS) if size >= b[0])
-    return low <= ratio <= high
+    return low <= ratio <= high and (fitted is None or size < BANDS[1][0] or fitted[0] <= ratio <= fitted[1])
+
+
+def bounds(counts: dict[int, int]) -> tuple[float, float] | None:
+    """Limits from how often each step of the ratio was seen."""
+    total, seen, at = sum(counts.values()), 0, []
+    if total < LEAST_TEXTS:
+        return None
+    for step in sorted(counts):
+        seen += counts[step]
+        while len(at) < 3 and seen >= total * (0.25, 0.5, 0.75)[len(at)]:
+            at.append((step + 0.5) / STEPS)
+    low, mid, high = at
+    normal = 0.6745  # a quartile of the normal distribution, in deviations
+    return mid - DEVIATIONS * max(mid - low, 1 / STEPS) / normal, mid + DEVIATIONS * max(high - mid, 1 / STEPS) / normal
 
 
 def measure(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple:
-    """The fields of RESULT for one text."""
+    """n_words to base_failed of RESULT, the whole text's ratio, and those of its chunks (none if it is one)."""
     words = text.split()  # bytes split at the six ASCII spaces
     n_repeat = repeated_words(words)
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
@@ -74,27 +107,54 @@ def measure(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple:
     base = len(words) < MIN_WORDS or 100 * n_repeat > MOST_REPEATED * len(words)
     ratio = len(squeeze.compress(text)) / len(text) if text else 0.0
     chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-    if len(chunks) > 1 and len(chunks[-1]) < CHUNK // 2:
+    if len(chunks) > 1 and len(chunks[-1]) < CHUNK:
         chunks.pop()  # a short rest counts in the whole text alone
-    if len(chunks) > 1:
-        bad = sum(not in_band(len(squeeze.compress(c)) / len(c), len(c)) for c in chunks) / len(chunks)
-    else:
-        bad = 0.0
-    kept = not base and in_band(ratio, len(text)) and bad <= BAD_CHUNKS
-    return len(words), chars, symbols, len(lines) - len(set(lines)), n_repeat, base, ratio, bad, kept
+    each = [len(squeeze.compress(c)) / CHUNK for c in chunks] if len(text) > CHUNK else []
+    return len(words), chars, symbols, len(lines) - len(set(lines)), n_repeat, base, ratio, each
+
+
+def judge(size: int, base: bool, ratio: float, each: list[float], limits: Limits) -> tuple[float, bool]:
+    """bad_chunks and kept of RESULT."""
+    bad = sum(not in_band(r, CHUNK, limits.chunk) for r in each) / len(each) if each else 0.0
+    return bad, not base and in_band(ratio, size, limits.whole.get(length_class(size))) and bad <= BAD_CHUNKS
+
+
+def fit(df: DataFrame, text: str = "text") -> Limits:
+    """Limits from every text that passes the word rules. A length seen in fewer than LEAST_TEXTS texts has none."""
+
+    @F.arrow_udf("array<int>")
+    def steps(texts: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        out = []
+        for x in text_bytes(texts):
+            *_, base, ratio, each = measure(x or b"", squeeze)
+            out.append([] if base else [length_class(len(x)) << 16 | int(ratio * STEPS), *(-1 << 16 | int(r * STEPS) for r in each)])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    seen = df.select(F.explode(steps(F.col(f"`{text}`"))).alias("s")).groupBy("s").count().collect()  # bounded: lengths times steps
+    by: dict[int, dict[int, int]] = {}
+    for s, n in seen:
+        by.setdefault(s >> 16, {})[s & 0xFFFF] = n
+    found = {k: b for k, counts in by.items() if (b := bounds(counts))}
+    return Limits({k: b for k, b in found.items() if k >= 0}, found.get(-1))
 
 
-def assess(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with the counts, base_failed, ratio, bad_chunks (share of chunks out of band) and kept.
+def assess(df: DataFrame, text: str = "text", limits: Limits | None = None) -> DataFrame:
+    """`df` with the counts, base_failed, ratio, bad_chunks (share of chunks out of band) and kept, by
+    the given limits or those fitted on `df` itself.
 
     Words are runs of anything but the six ASCII spaces. A null or empty text has zero counts,
-    ratio 0 and fails the base rules. Every text is read whole and by itself: repeated rows get
-    equal results, an empty table an empty one. Input columns of the result's names are replaced."""
+    ratio 0 and fails the base rules. Every text is read whole; equal rows get equal results, an
+    empty table an empty one. Input columns of the result's names are replaced."""
+    limits = limits or fit(df, text)
 
     @F.arrow_udf(RESULT)
     def of(texts: pa.Array) -> pa.Array:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
-        rows = [measure(t or b"", squeeze) for t in text_bytes(texts)]
+        rows = []
+        for x in text_bytes(texts):
+            *counts, base, ratio, each = measure(x or b"", squeeze)
+            rows.append((*counts, base, ratio, *judge(len(x or b""), base, ratio, each, limits)))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 9
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         names = [f.split(":")[0] for f in RESULT[7:-1].split(",")]

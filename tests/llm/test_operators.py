@@ -324,3 +324,52 @@ def test_pipeline(spark, data):
 
 def test_arrow_results_of_empty_batches():
     assert len(language_id.label(None, [])) == 0 and isinstance(pa.array([]), pa.Array)
+
+
+def test_quality_query_is_brute_force(spark, data):
+    import collections
+    import re
+
+    import zstandard
+
+    word = re.compile(r"[^\x20\x09-\x0d]+")
+    rows = common.table(spark, data, "documents").collect()
+    got = {r.doc_id: r for r in queries.op10_quality_rules(spark, data).collect()}
+    seen, base = collections.defaultdict(list), {}
+    for r in rows:
+        t, g = r.text or "", got[r.doc_id]
+        w = word.findall(t)
+        win = collections.Counter(zip(w, w[1:], w[2:]))
+        rep = len({j for i, x in enumerate(zip(w, w[1:], w[2:])) if win[x] > 1 for j in range(i, i + 3)})
+        own = [x for x in t.split("\n") if word.search(x)]
+        base[r.doc_id] = len(w) < 50 or 100 * rep > 50 * len(w)
+        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(own) - len(set(own)), rep, base[r.doc_id])
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == want
+        b = t.encode()
+        if b:
+            assert g.ratio == len(zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress(b)) / len(b)
+        if not base[r.doc_id]:
+            seen[quality_rules.length_class(len(b))].append(int(g.ratio * 1000))
+    for r in rows:  # the whole text's limits, from the sorted ratios of its length; chunks decide beside them
+        g, size = got[r.doc_id], len((r.text or "").encode())
+        ratios = sorted(seen[quality_rules.length_class(size)])
+        inside = True
+        if len(ratios) >= quality_rules.LEAST_TEXTS and size >= 256:
+            low, mid, high = ((ratios[-(-len(ratios) * k // 4) - 1] + 0.5) / 1000 for k in (1, 2, 3))
+            inside = mid - 4 * max(mid - low, 0.001) / 0.6745 <= g.ratio <= mid + 4 * max(high - mid, 0.001) / 0.6745
+        assert g.kept == (not base[r.doc_id] and inside and quality_rules.in_band(g.ratio, size) and g.bad_chunks <= quality_rules.BAD_CHUNKS)
+
+
+def test_quality_bands_reject_planted_texts(spark):
+    r = random.Random(7)
+    letters = "etaoinshrdlu"
+    vocab = ["".join(r.choice(letters) for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    clean = [" ".join(r.choice(vocab) for _ in range(300)) for _ in range(300)]
+    marked = [" ".join(r.choice(vocab) + r.choice(("***", "$$$", "|")) for _ in range(260)) for _ in range(10)]
+    few = [" ".join(r.choice(vocab[:12]) for _ in range(300)) for _ in range(10)]
+    noise = [" ".join(base64.b64encode(r.randbytes(5)).decode() for _ in range(230)) for _ in range(10)]
+    got = [x.kept for x in quality_rules.assess(docs(spark, clean + marked + few + noise)).orderBy("doc_id").collect()]
+    assert sum(got[:300]) >= 298 and not any(got[300:])
+    assert quality_rules.assess(docs(spark, clean).limit(0)).count() == 0
+    twice = quality_rules.assess(docs(spark, [None, "", clean[0], clean[0], "x y " * 200000]).withColumn("kept", F.lit(1)))
+    assert [x.kept for x in twice.orderBy("doc_id").collect()] == [False, False, True, True, False] and twice.columns.count("kept") == 1
