@@ -364,12 +364,12 @@ def test_quality_bands_reject_planted_texts(spark):
     r = random.Random(7)
     letters = "etaoinshrdlu"
     vocab = ["".join(r.choice(letters) for _ in range(r.randrange(2, 10))) for _ in range(3000)]
-    clean = [" ".join(r.choice(vocab) for _ in range(300)) for _ in range(300)]
+    clean = [" ".join(r.choice(vocab) for _ in range(r.randrange(200, 500))) for _ in range(900)]
     marked = [" ".join(r.choice(vocab) + r.choice(("***", "$$$", "|")) for _ in range(260)) for _ in range(10)]
     few = [" ".join(r.choice(vocab[:12]) for _ in range(300)) for _ in range(10)]
     noise = [" ".join(base64.b64encode(r.randbytes(5)).decode() for _ in range(230)) for _ in range(10)]
     got = [x.kept for x in quality_rules.assess(docs(spark, clean + marked + few + noise)).orderBy("doc_id").collect()]
-    assert sum(got[:300]) >= 298 and not any(got[300:])
+    assert sum(got[:900]) >= 890 and not any(got[900:])
     assert quality_rules.assess(docs(spark, clean).limit(0)).count() == 0
     twice = quality_rules.assess(docs(spark, [None, "", clean[0], clean[0], "x y " * 200000]).withColumn("kept", F.lit(1)))
     assert [x.kept for x in twice.orderBy("doc_id").collect()] == [False, False, True, True, False] and twice.columns.count("kept") == 1
