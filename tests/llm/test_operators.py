@@ -373,3 +373,48 @@ def test_quality_bands_reject_planted_texts(spark):
     assert quality_rules.assess(docs(spark, clean).limit(0)).count() == 0
     twice = quality_rules.assess(docs(spark, [None, "", clean[0], clean[0], "x y " * 200000]).withColumn("kept", F.lit(1)))
     assert [x.kept for x in twice.orderBy("doc_id").collect()] == [False, False, True, True, False] and twice.columns.count("kept") == 1
+
+
+def text_of(page, near=None):
+    return html_extract.main_text(html_extract.lines(page), near and html_extract.lines(near))
+
+
+def test_html_without_end_tags():
+    assert text_of("<html><head><title>t</title><meta charset=x><body><article><p>A<p>B</article>") == "A\nB"
+    assert text_of("<head><title>t</title><p>A") == "A" and text_of("<head>A") == "A"
+    assert text_of("<article><p class='ad'>Buy<div>Main</div></article>") == "Main"
+    assert text_of("<article><ul><li class='ad'>Buy<li>Main</ul><dl><dt class='ad'>x<dd>y</dl></article>") == "Main\ny"
+    assert text_of("<article><table><tr><td class='ad'>Buy<td>Main<tr><td>More</table></article>") == "Main\nMore"
+    assert text_of("<main><article><p>Short</p></article><p>The long text of the main part</p></main>") == "Short\nThe long text of the main part"
+    assert text_of("<main><p>Crumb</p><article><p>The long text of the article</p></article></main>") == "The long text of the article"
+    assert text_of("<article><div class='article-header'><h1>Head</h1></div><p>Text</p></article>") == "Head\nText"
+    assert text_of("<article><svg><svg><text>no</text></svg><text>no</text></svg><p>Text</p></article>") == "Text"
+    assert text_of("<article><p>a<script>if (x < 1) '<p>no'</script>b</article>") == "ab".replace("ab", "a b")
+
+
+def test_html_common_is_the_longest():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        got = sorted(html_extract.common(a, b))
+        assert len(got) == table[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in got)
+
+
+def test_html_does_not_depend_on_partitions(spark):
+    rows = [(i, f"http://h/{'a' if i < 9 else 'b'}/{i:02d}", f"<div>Site of all pages</div><div>own {i} " + f"word{i} " * 9 + "</div><div>End of all pages</div>") for i in range(15)]
+    rows += [(20 + i, f"http://g/{i}", f"<article>x{i}</article>") for i in range(5)] + [(50, "http://alone/", "<p>alone</p>"), (51, None, None)]
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("1", "4", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+    assert all(t == f"own {i} " + " ".join([f"word{i}"] * 9) for i, t in seen[0][:15])
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_extract.extract(empty).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(empty).count() == 0
