@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinemetry.llm.common import chosen
+from kinemetry.llm.common import blocks, chosen
 from kinemetry.llm.pretokens import spread
 
 START, END = b"<|im_start|>", b"<|im_end|>"
@@ -77,6 +77,32 @@ def assemble(roles: list[bytes], text: np.ndarray, offsets: np.ndarray) -> tuple
 
 
 FIELDS = ["formatted", "loss_starts", "loss_ends"]
+#: Bytes of one Arrow column of formatted texts, unless one conversation alone is longer.
+COLUMN_BYTES = 1 << 28
+
+
+def _rows(parts: list[pa.RecordBatch], conv_id: str) -> Iterator[pa.RecordBatch]:
+    """The conversations of whole batches (id, role, text): slices of the assembled buffer are the columns."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    if not rows.num_rows:
+        return
+    ids = rows.column(0).combine_chunks() if isinstance(rows.column(0), pa.ChunkedArray) else rows.column(0)
+    given = ids.to_pylist()
+    roles = [r or b"" for r in rows.column(1).cast(pa.binary()).to_pylist()]
+    texts = pa.array([t or b"" for t in rows.column(2).cast(pa.large_binary()).to_pylist()], pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    out, begin, text_at = assemble(roles, np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets)
+    first = np.array([0, *(i for i in range(1, len(given)) if given[i] != given[i - 1])])
+    start = np.append(begin[first], begin[-1])  # of each conversation, and the end
+    learned = np.flatnonzero([r == LEARNED for r in roles])
+    of = np.searchsorted(first, learned, "right") - 1
+    spans = [text_at[learned] - start[of], begin[learned + 1] - len(END) - 1 - start[of]]
+    places = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(first)))))
+    for a, b in blocks(np.diff(start), COLUMN_BYTES):
+        own = (start[a : b + 1] - start[a]).astype(np.int32)
+        text = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(own), pa.py_buffer(out[start[a] : start[b]])])
+        lists = [pa.ListArray.from_arrays(pa.array((places[a : b + 1] - places[a]).astype(np.int32)), pa.array(s[places[a] : places[b]], pa.int64())) for s in spans]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[a:b])), text, *lists], names=[conv_id, *FIELDS])
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -92,40 +118,20 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
     dealt = dealt.repartition("c").sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x")
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_id, parts, size, starts, ends, kind, any_open = None, [], 0, [], [], None, False
-
-        def row(ids: list, texts: list, a: list, b: list) -> pa.RecordBatch:
-            spans = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(a, spans), pa.array(b, spans)], names=[conv_id, *FIELDS])
-
+        held: list[pa.RecordBatch] = []  # rows of a conversation that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind = batch.column(0).type
             ids = batch.column(0).to_pylist()
-            roles = [r or b"" for r in batch.column(1).cast(pa.binary()).to_pylist()]
-            texts = pa.array([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
-            offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64)
-            out, begin, text_at = assemble(roles, np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets)
-            text_end, raw = begin[1:] - len(END) - 1, memoryview(out)
-            done: tuple[list, list, list, list] = ([], [], [], [])
-            edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if any_open and ids[lo] != open_id:
-                    for x, y in zip(done, (open_id, b"".join(parts), starts, ends), strict=True):
-                        x.append(y)
-                    parts, size, starts, ends = [], 0, [], []
-                open_id, any_open = ids[lo], True
-                shift = size - int(begin[lo])
-                parts.append(bytes(raw[begin[lo] : begin[hi]]))
-                size += len(parts[-1])
-                learned = [i for i in range(lo, hi) if roles[i] == LEARNED]
-                starts += [int(text_at[i]) + shift for i in learned]
-                ends += [int(text_end[i]) + shift for i in learned]
-            if done[0]:
-                yield row(*done)
-        if any_open:
-            yield row([open_id], [b"".join(parts)], [starts], [ends])
+            cut = len(ids) - 1
+            while cut and ids[cut - 1] == ids[-1]:
+                cut -= 1
+            if cut or held and held[0].column(0)[0].as_py() != ids[0]:
+                yield from _rows([*held, batch.slice(0, cut)], conv_id)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from _rows(held, conv_id)
 
     return dealt.mapInArrow(formatted, f"`{conv_id}` {kind}, formatted string, loss_starts array<long>, loss_ends array<long>")
 

@@ -20,9 +20,12 @@ _scratch: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the session names none (a local test) a temporary folder is made."""
+    Only where the session names none and runs in one process (a local test) a temporary folder is
+    made; a cluster without the setting is refused, as its machines share no temporary folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines share")
         at = tempfile.mkdtemp(prefix="kinemetry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -51,8 +54,8 @@ def _clear() -> None:
     for spark, path in _scratch:
         try:
             drop_table(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone
-            return
+        except Exception:  # noqa: BLE001, S112  the JVM may be gone; the other folders have their turn
+            continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,6 +26,11 @@ DOCS_PER_LANGUAGE, LETTERS_PER_DOC = 600, 20_000
 #: Of 5 sampled documents, one is not counted but calibrates the rejection.
 CALIBRATE_ONE_IN = 5
 WINDOW = 100
+#: Mean and deviation of the entropy of windows, and that of shuffled letters, of a language of whose
+#: texts none is left to calibrate on.
+UNCALIBRATED = (3.0, 1.0, 8.0)
+#: Letters of a language's calibration texts that are shuffled to stand for noise.
+SHUFFLED = 20_000
 #: Parts of a language that are ranked apart, each count dividing the one before, down to the whole: one language may
 #: hold most rows, and no later step ranks more than 16 parts' rows in one task.
 PARTS = (256, 16, 1)
@@ -117,6 +122,8 @@ class Models:
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per letter (spaces included) of each text under each language, and its letters."""
+        if not texts:
+            return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
         sym, at = _letters(texts)
         n = np.diff(at)
         if not len(sym):
@@ -132,6 +139,10 @@ class Models:
         return np.maximum(wide, 0.1 * self.mean[best] + 0.9 * self.shuffled[best])
 
 
+#: What is known where nothing can be learned.
+NONE = Models([], [], [], [], np.zeros(0))
+
+
 def _kneser_ney(languages: list[str], counts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> Models:
     """Interpolated Kneser-Ney models from the counts of the ORDER-grams and of shorter starts."""
     alphabet = np.unique(np.concatenate([key & ((1 << BITS) - 1) for key, _ in counts.values()]))
@@ -203,7 +214,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     """Models from a bounded sample: per language the `docs_per_language` different texts of least
     hash among those of 1 to LETTERS_PER_DOC characters. Rows with a null text or language don't count.
 
-    Raises ValueError if no row can be learned from."""
+    Of a language with fewer than CALIBRATE_ONE_IN such texts all are counted. If no row can be learned
+    from, the models know no language, and every text is `und`."""
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where(
         f"lang is not null and text is not null and length(text) between 1 and {LETTERS_PER_DOC}"
     ).withColumn("h", F.xxhash64("text"))
@@ -212,17 +224,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     for parts in PARTS:
         rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h"))
         least = least.withColumn("r", rank).where(F.col("r") <= docs_per_language).drop("r")
-    most = {r.lang: r.h for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    most = {r.lang: (r.h, r.n) for r in least.groupBy("lang").agg(F.max("h").alias("h"), F.count("*").alias("n")).collect()}
     if not most:
-        raise ValueError("no labelled text to learn languages from")
-    bound = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("lang"))
+        return NONE
+    bound, texts = (F.element_at(F.create_map(*[F.lit(x) for k, v in most.items() for x in (k, v[i])]), F.col("lang")) for i in (0, 1))
     sample = rows.where(F.col("h") <= bound).dropDuplicates(["lang", "h"])
-    fold = F.pmod(F.xxhash64("h"), F.lit(CALIBRATE_ONE_IN))
+    fold = F.when(texts < CALIBRATE_ONE_IN, 1).otherwise(F.pmod(F.xxhash64("h"), F.lit(CALIBRATE_ONE_IN)))
     found = (sample.where(fold != 0).select("lang", "text")
              .mapInArrow(_counted, "lang string, n int, key long, count long")
              .groupBy("lang", "n", "key").agg(F.sum("count").alias("count")).toArrow().to_pandas())
     if found.empty:
-        raise ValueError("no letters to learn languages from")
+        return NONE
     counts = {}
     for (x, n), part in found.groupby(["lang", "n"]):
         part = part.sort_values("key")
@@ -236,9 +248,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
         windows = [w for t in texts for i in range(0, len(t), WINDOW) if len(w := t[i : i + WINDOW]) == WINDOW]
         h, n = models.entropy(windows) if windows else (np.zeros((0, len(models.languages))), np.zeros(0))
         h = h[n > WINDOW // 4, j]
-        shuffled, _ = models.entropy(["".join(mix.permutation(list("".join(windows)[:20_000])))] if windows else [])
-        mean.append(h.mean() if len(h) else 3.0), sd.append(h.std() if len(h) else 1.0)
-        mixed.append(shuffled[0, j] if len(shuffled) else 8.0)
+        shuffled, _ = models.entropy(["".join(mix.permutation(list("".join(windows)[:SHUFFLED])))] if windows else [])
+        mean.append(h.mean() if len(h) else UNCALIBRATED[0]), sd.append(h.std() if len(h) else UNCALIBRATED[1])
+        mixed.append(shuffled[0, j] if len(shuffled) else UNCALIBRATED[2])
     models.mean, models.sd, models.shuffled = map(np.array, (mean, sd, mixed))
     return models
 
@@ -250,6 +262,9 @@ def label(models: Models, texts: list[str | None]) -> pa.StructArray:
     """Language, score and verdict of each text (see `predict`)."""
     lang, score, nats, out = [], [], [], []
     full = [t or "" for t in texts]
+    if models is not None and not models.languages:
+        lang, score, nats, out = ["und"] * len(full), [0.0] * len(full), [None] * len(full), [True] * len(full)
+        full = []
     for a, b in blocks(np.array([len(t) + 1 for t in full]), BLOCK):
         h, n = models.entropy(full[a:b])
         best = h.argmin(axis=1)
@@ -271,7 +286,8 @@ def predict(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
     50 letters), cross_entropy (nats per letter) and rejected.
 
     The whole text counts, in blocks. A null text, an empty one or one without a letter is `und`
-    with score 0, and rejected. Repeated rows get equal results, an empty table an empty result;
+    with score 0, and rejected; so is every text if the models know no language. Of equal entropies
+    the first name is taken. Repeated rows get equal results, an empty table an empty result;
     input columns of the four names are replaced."""
     held = df.sparkSession.sparkContext.broadcast(models)  # bounded: see fit
 

@@ -13,7 +13,7 @@ from kinemetry.llm.common import table
 
 def held_out() -> F.Column:
     """Rows that no model learns from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

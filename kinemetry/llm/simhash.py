@@ -9,6 +9,7 @@ fingerprint, therefore meet for every link; pairs that meet are verified."""
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 import numpy as np
@@ -128,6 +129,12 @@ def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     return two.unionByName(few).unionByName(many)
 
 
+def _of_groups(rows: DataFrame) -> DataFrame:
+    """(fp, group) of every fingerprint of `rows`: the group is one of its fingerprints."""
+    whole = components(links(rows))
+    return rows.select("fp").distinct().join(whole.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `df`: its id, `fp` (long), `fingerprint` (16 hex digits) and `component_id`,
     the smallest id reachable over links, its own included.
@@ -137,17 +144,22 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     left out, so their names can't clash. Null ids are linked but never a component's name, unless
     the component has no other."""
     rows, _ = written(with_fingerprint(df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")), "t").select("id", "fp"))
-    firsts = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    whole = components(links(rows))
-    named = whole.join(firsts.withColumnRenamed("fp", "id"), "id", "left")
-    lowest = named.groupBy("component").agg(F.min("first").alias("low"))
-    of_fp = named.join(lowest, "component").select(F.col("id").alias("fp"), "low")
-    of_fp = firsts.join(of_fp, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    of, _ = written(_of_groups(rows))
+    lowest = rows.groupBy("fp").agg(F.min("id").alias("low")).join(of, "fp").groupBy("group").agg(F.min("low").alias("component_id"))
+    of_fp = of.join(lowest, "group").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(
         F.col("id").alias(doc_id), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def firsts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the smallest of its group; of rows that share it, all stay."""
-    kept = groups(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    return df.join(kept, doc_id, "left_semi")
+    """One row of each group of `df`, with all its columns: that of the smallest id (null is the
+    largest), among its rows that of the least fingerprint, and of equal ones any."""
+    own = f"_{uuid.uuid4().hex[:8]}"
+    rows, _ = written(with_fingerprint(df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")), "t").groupBy("id", "fp").agg(F.count("*").alias("n")))
+    first = rows.join(_of_groups(rows), "fp").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "n")).alias("first")).select("first.*")
+    first, _ = written(first.select("id", "fp", "n"))
+    marked = with_fingerprint(df, text, own)
+    kept = marked.join(first, (marked[own] == first["fp"]) & marked[f"`{doc_id}`"].eqNullSafe(first["id"]), "left_semi")
+    if not first.where("n > 1").isEmpty():  # rows that share id and fingerprint
+        kept = kept.dropDuplicates([doc_id, own])
+    return kept.drop(own)

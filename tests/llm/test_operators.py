@@ -418,3 +418,80 @@ def test_html_does_not_depend_on_partitions(spark):
     assert all(t == f"own {i} " + " ".join([f"word{i}"] * 9) for i, t in seen[0][:15])
     empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
     assert html_extract.extract(empty).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(empty).count() == 0
+
+
+def test_chat_query_is_brute_force(spark, data):
+    rows = [tuple(r) for r in common.table(spark, data, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, 0, "user", queries.CONTROL), (-1, 1, "assistant", queries.CONTROL)]
+    got = {r.conv_id: r for r in queries.op7_chat_format(spark, data).collect()}
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn, role, text or ""))
+    assert set(got) == set(by)
+    bar = lambda x: x.replace("<|", "<\\|")  # noqa: E731  none of these texts has backslashes before a bar
+    for c, turns in by.items():
+        turns, g = [x[1:] for x in sorted(turns)], got[c]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert not any("<\\" in t for _, t in turns)
+        shown = "".join(f"<|im_start|>{r}\n{bar(t)}<|im_end|>\n" for r, t in turns)
+        assert (g.n_turns, g.loss_chars, g.formatted_chars) == (len(turns), len(loss), len(shown))
+        assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
+def test_chat_of_many_batches(spark):
+    rows = [(i // 7, i, ("user", "assistant")[i % 2], f"text {i} " * (i % 50)) for i in range(700)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    got = chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 100
+    for r in got:
+        raw, own = r.formatted.encode(), rows[r.conv_id * 7 : r.conv_id * 7 + 7]
+        assert [(a.decode(), b.decode()) for a, b in chat_format.parse(raw)] == [x[2:] for x in own]
+        assert [raw[a:b].decode() for a, b in zip(r.loss_starts, r.loss_ends, strict=True)] == [x[3] for x in own if x[2] == "assistant"]
+
+
+def test_simhash_query_is_brute_force(spark, data):
+    rows = common.table(spark, data, "documents").select("doc_id", "text").collect()
+    fp = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in rows}
+    ids, root = sorted(fp), {d: d for d in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash(spark, data).collect()}
+    assert got == {d: (f"{fp[d]:016x}", find(d)) for d in ids}
+
+
+def test_simhash_firsts_of_odd_rows(spark):
+    a, b = "one two three four five six seven", "some quite other words stand in here"
+    rows = [(3, a), (1, a), (1, a), (None, b), (None, b), (7, None), (8, ""), (9, "alone among all of these words")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.firsts(df).collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (7, None), (9, rows[-1][1])], key=str)
+    assert simhash.firsts(df).columns == df.columns and simhash.firsts(df.limit(0)).count() == 0
+    assert {(r.doc_id, r.component_id) for r in simhash.groups(df).collect()} == {(3, 1), (1, 1), (None, None), (7, 7), (8, 7), (9, 9)}
+
+
+def test_languages_of_nothing(spark):
+    empty = docs(spark, ["x"]).limit(0).withColumn("lang", F.lit("en"))
+    models = language_id.fit(empty)
+    assert models.languages == [] and language_id.predict(empty, models).count() == 0
+    assert [r.lang_pred for r in language_id.predict(docs(spark, ["some words", None]), models).collect()] == ["und", "und"]
+    one = language_id.fit(docs(spark, ["some few words"]).withColumn("lang", F.lit("en")))
+    got = language_id.predict(docs(spark, ["some few words", "x" * 300_000]).withColumn("lang_pred", F.lit(1)), one).collect()
+    assert one.languages == ["en"] and [r.lang_pred for r in got] == ["en", "en"]
+
+
+def test_line_dedup_clashing_names(spark):
+    df = docs(spark, ["a b c d e f\na b c d e f", "x\n\ny"]).selectExpr("doc_id", "text", "1 as _doc", "2 as _ats", "3 as _parts", "4 as n_lines")
+    got = [tuple(r) for r in line_dedup.dedup(df).orderBy("doc_id").collect()]
+    assert got == [(0, "a b c d e f", 1, 2, 3, 2, 1), (1, "x\n\ny", 1, 2, 3, 3, 0)]
