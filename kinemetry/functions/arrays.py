@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 ZERO_FLOOR = 1e-9
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once: inside a function over elements it would be anew for each."""
+    return F.transform(F.array(x), use)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -21,19 +27,21 @@ def mean(x: Column) -> Column:
 def closed(parts: Column, floor: float = ZERO_FLOOR) -> Column:
     """A composition: parts of at least `floor` that sum to one."""
     raised = F.transform(parts, lambda v: F.greatest(v, F.lit(floor)))
-    return F.transform(raised, lambda v: v / total(raised))
+    return bound(raised, lambda r: bound(total(r), lambda s: F.transform(r, lambda v: v / s)))
+
+
+def _logs(parts: Column) -> Column:
+    return F.transform(closed(parts), lambda v: F.log(v))
 
 
 def clr(parts: Column) -> Column:
     """Centred log-ratios."""
-    logs = F.transform(closed(parts), lambda v: F.log(v))
-    return F.transform(logs, lambda v: v - mean(logs))
+    return bound(_logs(parts), lambda x: bound(mean(x), lambda m: F.transform(x, lambda v: v - m)))
 
 
 def ilr(parts: Column, n: int) -> Column:
     """Isometric log-ratios of n parts in the Helmert basis: n - 1 coordinates."""
-    logs = F.transform(closed(parts), lambda v: F.log(v))
-    return F.array(*[math.sqrt(i / (i + 1)) * (total(F.slice(logs, 1, i)) / i - logs[i]) for i in range(1, n)])
+    return bound(_logs(parts), lambda x: F.array(*[math.sqrt(i / (i + 1)) * (total(F.slice(x, 1, i)) / i - x[i]) for i in range(1, n)]))
 
 
 def ilr_inverse(y: Column, n: int) -> Column:
@@ -45,19 +53,56 @@ def ilr_inverse(y: Column, n: int) -> Column:
         return own
 
     e = F.array(*[F.exp(log_part(k)) for k in range(n)])
-    return F.transform(e, lambda v: v / total(e))
+    return bound(e, lambda x: bound(total(x), lambda s: F.transform(x, lambda v: v / s)))
+
+
+def centred(x: Column) -> Column:
+    return bound(F.transform(x, lambda v: v.cast("double")), lambda d: bound(mean(d), lambda m: F.transform(d, lambda v: v - m)))
+
+
+def transformed(x: Column, n: int, taper: list[float]) -> Column:
+    """|DFT| of n samples times a taper, bins 0 to n/2."""
+    def part(t: Column, k: Column, wave) -> Column:
+        return F.aggregate(F.transform(t, lambda v, i: v * wave(2 * math.pi / n * k * i)), F.lit(0.0), lambda a, v: a + v)
+
+    return bound(F.zip_with(x, F.array(*map(F.lit, taper)), lambda v, w: v * w), lambda t: F.transform(
+        F.sequence(F.lit(0), F.lit(n // 2)), lambda k: F.sqrt(F.pow(part(t, k, F.cos), 2) + F.pow(part(t, k, F.sin), 2))))
 
 
 def magnitudes(x: Column, n: int, window: bool = False) -> Column:
     """|DFT| of n samples without their mean, bins 0 to n/2, optionally under a Hann window."""
-    taper = [0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1)) if window else 1.0 for i in range(n)]
-    centred = F.transform(x, lambda v: v.cast("double") - mean(F.transform(x, lambda u: u.cast("double"))))
-    tapered = F.zip_with(centred, F.array(*map(F.lit, taper)), lambda v, w: v * w)
+    return transformed(centred(x), n, [0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1)) if window else 1.0 for i in range(n)])
+
+
+def short_spectra(x: Column, length: int, frame: int, hop: int) -> Column:
+    """|STFT|: an array per frame of bins 0 to frame/2, under a periodic Hann window, over its sum."""
+    taper = [0.5 - 0.5 * math.cos(2 * math.pi * i / frame) for i in range(frame)]
+    return F.transform(F.array(*map(F.lit, range(1, length - frame + 2, hop))), lambda s: transformed(
+        F.transform(F.slice(x, s, frame), lambda v: v.cast("double")), frame, [w / sum(taper) for w in taper]))
+
+
+def hertz(m: Column) -> Column:
+    """Frequency of a Mel value."""
+    return 700.0 * (F.pow(F.lit(10.0), m / 2595.0) - 1)
+
+
+def clipped(x: Column, full_scale_known: bool) -> Column:
+    """Share of samples at full scale (0.999 of +-1), or, of an unknown scale, at the very peak."""
+    def share(a: Column, top: Column) -> Column:
+        return F.size(F.filter(a, lambda v: v >= top)) / F.size(a)
+
+    level = F.transform(x, lambda v: F.abs(v))
+    if full_scale_known:
+        return share(level, F.lit(0.999))
+    return bound(level, lambda a: bound(F.array_max(a), lambda p: F.when(p > 0, share(a, p * (1 - 1e-9))).otherwise(0.0)))
+
 
-    def part(k: Column, wave) -> Column:
-        return F.aggregate(F.transform(tapered, lambda v, i: v * wave(2 * math.pi * k * i / n)), F.lit(0.0), lambda a, v: a + v)
+def ratio_alias(f0: Column, p: Column, tol: float = 0.02) -> Column:
+    """Whether f0 lies beside p or is a multiple or a part of it."""
+    def whole(r: Column) -> Column:
+        return F.abs(r - F.bround(r, 0)) <= tol
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda k: F.sqrt(F.pow(part(k, F.cos), 2) + F.pow(part(k, F.sin), 2)))
+    return (f0 > 0) & (p > 0) & ((F.abs(f0 - p) <= 2.0) | whole(f0 / p) | whole(p / f0))
 
 
 def mel(f: Column) -> Column:

@@ -25,8 +25,9 @@ def marked(flags: DataFrame, keys: list[str], order: list[str], flag: str, need:
 
 def episodes(gated: DataFrame, keys: list[str], order: list[str], idx: str, need: Column) -> DataFrame:
     """One row per alert: keys, start_idx, alert_idx, and clear_idx, null while it lasts."""
-    after = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    cleared = F.min(F.when(F.col("marker") == "C", F.col(idx))).over(after)
+    # read backwards, so that a row adds to what is behind it instead of the frame being read anew
+    later = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    cleared = F.last(F.when(F.col("marker") == "C", F.col(idx)), ignorenulls=True).over(later)
     return (gated.withColumn("clear_idx", cleared).where("alert")
             .select(*keys, (F.col(idx) - F.greatest(F.lit(1), need) + 1).alias("start_idx"), F.col(idx).alias("alert_idx"), "clear_idx"))
 

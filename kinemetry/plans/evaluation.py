@@ -104,8 +104,6 @@ SELECT source, round((s - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS auc, n::BIGI
   avg(CASE WHEN idx * 4 > 3 * n THEN score END) > avg(CASE WHEN idx * 4 <= n THEN score END) AS rose FROM q GROUP BY 1""",
     "curve_invert": BASE + ", q AS (" + " UNION ALL ".join(f"SELECT regime, {i} AS i, quantile_cont(score, {i / 10}) AS y FROM r GROUP BY 1" for i in range(11)) + """), z AS (SELECT *, lead(y) OVER (PARTITION BY regime ORDER BY i) AS z FROM q)
 SELECT regime, round((i + (60 - y) / (z - y)) / 10, 6) AS level FROM z WHERE y <= 60 AND z > 60""",
-    "bootstrap_ci": BASE + """, x AS (SELECT regime, b, score, ((event_id * 7919 + b * 104729) % 13) % 3 AS w FROM r, range(1, 201) k(b)), m AS (SELECT regime, b, sum(score * w) / sum(w) AS m FROM x GROUP BY 1, 2)
-SELECT regime, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1""",
     "growth_per_day": BASE + ", d AS (SELECT floor(t / 86400)::BIGINT AS day, count(*) AS rows FROM r GROUP BY 1) SELECT day, rows, (sum(rows) OVER (ORDER BY day))::BIGINT AS total, rows - lag(rows) OVER (ORDER BY day) AS change FROM d",
 }
 QUERIES = {f.__name__: f for f in (roc_auc, fpr_tpr, slope_per_week, corr_axes, quarter_trend, curve_invert, bootstrap_ci, growth_per_day)}

@@ -11,8 +11,8 @@ from kinemetry.sources.readings import readings, table
 
 KEYS, ORDER, NEED, CLEAR = ["device_id"], ["t", "event_id"], 2, 2
 WEEK = 7 * 86400.0
-#: Persistence candidates of the sweep, in windows.
-CANDIDATES = [1, 2, 3, 4, 5]
+#: Persistence candidates of the sweep, in windows.
+CANDIDATES = [1, 2, 5, 10, 15, 20, 30, 45, 60, 90, 120]
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ EPISODES = """ SELECT device_id, idx - {need} + 1 AS start_idx, idx AS alert_idx
 _GAP = ", p AS (SELECT *, lead(t) OVER (PARTITION BY device_id ORDER BY t, event_id) - t AS gap FROM r)"
 _RUNS = ", runs AS (SELECT device_id, run, count(*) AS length FROM g WHERE anomalous GROUP BY 1, 2)"
 _SPAN = ", span AS (SELECT device_id, max(t) - min(t) AS s FROM r GROUP BY 1)"
-_SWEEP = BASE + ", x AS (SELECT r.*, c.need FROM r, (VALUES (1), (2), (3), (4), (5)) c(need))" + _gate("need", "2", "x", "need, device_id") + ", sweep AS (SELECT need, sum(CASE WHEN alert THEN 1 ELSE 0 END)::BIGINT AS alerts FROM g GROUP BY 1)"
+_SWEEP = BASE + ", x AS (SELECT r.*, c.need FROM r, (SELECT unnest(" + str(CANDIDATES) + ") AS need) c)" + _gate("need", "2", "x", "need, device_id") + ", sweep AS (SELECT need, sum(CASE WHEN alert THEN 1 ELSE 0 END)::BIGINT AS alerts FROM g GROUP BY 1)"
 SQL = {
     "alert_episodes": BASE + _gate() + EPISODES.format(need=2),
     "gate_clear1": BASE + _gate("2", "1") + EPISODES.format(need=2),
@@ -185,7 +185,7 @@ SELECT device_id, coalesce(n, 0) AS alerts, round(coalesce(n, 0) / (s / 604800.0
 SELECT device_id, n AS n_runs, round(n / (s / 604800.0), 6) AS runs_per_week, round(m, 6) AS mean_run, longest,
   CASE WHEN n / (s / 604800.0) <= 1 THEN 1 ELSE greatest(1, ceil(1 + ln(1 / (n / (s / 604800.0))) / ln(least(greatest(1 - 1 / m, 1e-6), 1 - 1e-9))))::BIGINT END AS need FROM o JOIN span USING (device_id) WHERE s > 0""",
     "persist_sweep": _SWEEP + " SELECT need, alerts FROM sweep",
-    "persist_recommend": _SWEEP + " SELECT coalesce(min(need), 5) AS need FROM sweep WHERE alerts <= (SELECT count(DISTINCT device_id) FROM r)",
+    "persist_recommend": _SWEEP + " SELECT coalesce(min(need), 120) AS need FROM sweep WHERE alerts <= (SELECT count(DISTINCT device_id) FROM r)",
     "display_tier": BASE + """ SELECT event_id, round(CASE WHEN device_id % 4 <> 3 THEN CASE WHEN threshold <= 0 THEN 100.0 WHEN score <= 0 THEN 0.0
   WHEN log10(score / threshold) <= 0 THEN 70.0 * greatest(1 + log10(score / threshold), 0.0) ELSE 70.0 + 30.0 * least(log10(score / threshold) / 3.0, 1.0) END END, 6) AS display_index,
   CASE WHEN anomalous THEN 'red' ELSE 'green' END AS health FROM r""",

@@ -147,7 +147,7 @@ SELECT device_id, hour, round(score, 6) AS score, n AS rows FROM (SELECT *, coun
 SELECT device_id, count(*) AS missing FROM e ANTI JOIN h USING (device_id, hour) GROUP BY 1""",
     "retrain_union": BASE + _gate() + ", e AS (" + EPISODES.format(need=2) + """), f AS (SELECT DISTINCT r.device_id, r.event_id, round(r.score, 6) AS score FROM r JOIN e ON e.device_id = r.device_id AND r.idx BETWEEN e.start_idx AND e.alert_idx)
 SELECT device_id, count(*) AS rows, round(sum(score), 5) AS total_score FROM (SELECT device_id, score FROM r WHERE idx <= 8 UNION ALL SELECT device_id, score FROM f) GROUP BY 1""",
-    "severity_by_regime_pivot": BASE + " SELECT floor(t / 86400)::BIGINT AS day, " + ", ".join(f"round(max(CASE WHEN regime = '{x}' THEN score END), 6) AS {x}" for x in ("click", "error", "view")) + " FROM r GROUP BY 1",
+    "severity_by_regime_pivot": BASE + " SELECT floor(t / 86400)::BIGINT AS day, " + ", ".join(f"round(max(CASE WHEN regime = '{x}' THEN score END), 6) AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM r GROUP BY 1",
     "coerce_telemetry": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE round(value, 3) END AS number FROM events",
     "props_json": "SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, count(json_extract(props, '$.k')) AS present FROM events GROUP BY 1",
 }

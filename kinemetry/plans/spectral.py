@@ -39,17 +39,15 @@ def dc_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of samples at nine tenths of the signal's own peak and more."""
-    peak = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    near = F.size(F.filter("x", lambda v: F.abs(v) >= 0.9 * peak))
-    return _signals(spark, sf_dir).select("vec_id", F.round(near / F.size("x"), 6).alias("clipped"))
+    """Share of samples at full scale, and at the signal's own peak."""
+    return _signals(spark, sf_dir).select("vec_id", F.round(A.clipped(F.col("x"), True), 6).alias("at_full_scale"), F.round(A.clipped(F.col("x"), False), 6).alias("clipped"))
 
 
 def flat_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours that both lie near the peak and hardly differ."""
-    peak = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    flat = F.zip_with(F.slice("x", 1, N - 1), F.slice("x", 2, N - 1), lambda a, b: (F.least(F.abs(a), F.abs(b)) >= 0.5 * peak) & (F.abs(a - b) <= 0.1 * peak))
-    return _signals(spark, sf_dir).select("vec_id", F.size(F.filter(flat, lambda f: f)).cast("long").alias("flat"))
+    """Neighbours that both lie within a thousandth of the peak and differ by a millionth of it at most."""
+    flat = A.bound(F.array_max(F.transform("x", lambda v: F.abs(v))), lambda p: F.filter(
+        F.zip_with(F.slice("x", 1, N - 1), F.slice("x", 2, N - 1), lambda a, b: (F.least(F.abs(a), F.abs(b)) >= 0.999 * p) & (F.abs(a - b) <= 1e-6 * p)), lambda f: f))
+    return _signals(spark, sf_dir).select("vec_id", F.size(flat).cast("long").alias("flat"))
 
 
 def level_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,9 +166,10 @@ SQL = {
     "channel_stats": _S + """, m AS (SELECT *, v - avg(v) OVER (PARTITION BY vec_id) AS w FROM v) SELECT vec_id, round(log10(sqrt(avg(w * w))), 6) AS log_rms, round(avg(power(w, 4)) / power(avg(w * w), 2) - 3, 6) AS kurtosis,
   round(max(abs(w)) / sqrt(avg(w * w)), 6) AS crest, round(avg(power(w, 3)) / power(avg(w * w), 1.5), 6) AS skew FROM m GROUP BY 1""",
     "dc_level": _S + " SELECT vec_id, round(avg(v), 6) AS dc FROM v GROUP BY 1",
-    "clip_fraction": _S + ", p AS (SELECT *, max(abs(v)) OVER (PARTITION BY vec_id) AS peak FROM v) SELECT vec_id, round(avg(CASE WHEN abs(v) >= 0.9 * peak THEN 1 ELSE 0 END), 6) AS clipped FROM p GROUP BY 1",
+    "clip_fraction": _S + """, p AS (SELECT *, max(abs(v)) OVER (PARTITION BY vec_id) AS peak FROM v)
+SELECT vec_id, round(avg(CASE WHEN abs(v) >= 0.999 THEN 1 ELSE 0 END), 6) AS at_full_scale, round(avg(CASE WHEN peak > 0 AND abs(v) >= peak * (1 - 1e-9) THEN 1 ELSE 0 END), 6) AS clipped FROM p GROUP BY 1""",
     "flat_top": _S + """, p AS (SELECT *, max(abs(v)) OVER (PARTITION BY vec_id) AS peak, lead(v) OVER (PARTITION BY vec_id ORDER BY i) AS w FROM v)
-SELECT vec_id, count(CASE WHEN least(abs(v), abs(w)) >= 0.5 * peak AND abs(v - w) <= 0.1 * peak THEN 1 END) AS flat FROM p WHERE w IS NOT NULL GROUP BY 1""",
+SELECT vec_id, count(CASE WHEN least(abs(v), abs(w)) >= 0.999 * peak AND abs(v - w) <= 1e-6 * peak THEN 1 END) AS flat FROM p WHERE w IS NOT NULL GROUP BY 1""",
     "level_envelope": _S + " SELECT vec_id, (i // 8)::BIGINT AS hop, round(20 * log10(greatest(stddev_pop(v), 1e-12)), 5) AS db FROM v GROUP BY 1, 2",
     "clr": _P + " SELECT vec_id, j::INTEGER AS i, round(l - avg(l) OVER (PARTITION BY vec_id), 6) AS y FROM l",
     "ilr": _P + " SELECT vec_id, (j - 1)::INTEGER AS i, round(sqrt(j / (j + 1.0)) * (m - l), 6) AS y FROM (SELECT *, avg(l) OVER (PARTITION BY vec_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM l) WHERE j > 0",
