@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinemetry.plans import evaluation, learning, monitoring, serving, spectral
+from kinemetry.plans import evaluation, ingest, learning, monitoring, serving, soak, spectral
 
-_MODULES = (monitoring, serving, spectral, evaluation, learning)
+_MODULES = (monitoring, serving, spectral, evaluation, learning, soak, ingest)
 
 
 def queries() -> dict:

@@ -5,11 +5,11 @@ from compare import same
 from test_baseline import brute
 
 from kinemetry.operators import baseline, features
-from kinemetry.plans import catalog, evaluation, learning
+from kinemetry.plans import catalog, evaluation, learning, soak
 from kinemetry.sources.readings import table
 
-#: Queries with filters or a chi-square quantile, which SQL lacks; tested below by computing their rows another way.
-WITHOUT_SQL = {"features37", "learned_thresholds"}
+#: Queries with filters, matrices of 64 components, a chi-square quantile or Spark's hash, which SQL lacks; tested below by computing their rows another way.
+WITHOUT_SQL = {"features37", "learned_thresholds", "ledoit_wolf", "mahalanobis", "held_out_distance", "bootstrap_ci", "rate_bounds"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -32,19 +32,6 @@ def test_features37(spark, data):
         assert np.allclose([got[w, i] for i in range(37)], want, atol=2e-5)
 
 
-def test_learned_thresholds(spark, data):
-    e = [(r.vec_id, r.label, np.array(r.embedding[:2], float)) for r in table(spark, data, "embeddings").collect()]
-    got = {r.label: r for r in catalog.queries()["learned_thresholds"](spark, data).collect()}
-    for label in {k for _, k, _ in e}:
-        own = [(i % 5, x) for i, k, x in e if k == label]
-        folds = {f: baseline.model_of(baseline._sums(np.array([x for g, x in own if g != f]))) for f, _ in own}
-        fair = len(own) >= 15
-        one = baseline.model_of(baseline._sums(np.array([x for _, x in own])))
-        m = [(x - (folds[f] if fair else one)["mean"], np.array((folds[f] if fair else one)["precision"])) for f, x in own]
-        d = np.sqrt([z @ p @ z for z, p in m])
-        assert got[label].n == len(own) and abs(got[label].empirical - np.quantile(d, 0.995) * (1 if fair else 1.5)) < 1e-3
-
-
 def test_learn_queries_read_the_whole_vector(spark, data):
     e = [(r.vec_id, r.label, np.array(r.embedding, float)) for r in table(spark, data, "embeddings").collect()]
     got = {name: catalog.queries()[name](spark, data).collect() for name in ("ledoit_wolf", "mahalanobis", "held_out_distance", "learned_thresholds")}
@@ -105,3 +92,47 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rate_bounds(spark, data):
+    chi2 = spark._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution
+    got = catalog.queries()["rate_bounds"](spark, data).collect()
+    alerts = {r.device_id: r.n for r in catalog.queries()["alert_episodes"](spark, data).groupBy("device_id").agg(F.count("*").alias("n")).collect()}
+    assert got and any(r.alerts for r in got)
+    for r in got:
+        want = chi2(2.0 * (r.alerts + 1)).inverseCumulativeProbability(0.95) / 2 / r.weeks
+        assert r.alerts == alerts.get(r.device_id, 0) and abs(r.upper - want) < 1e-4 * want and r.passes_upper == (r.upper <= 1)
+
+
+def test_evolve_refuses_what_may_not_be_null(spark):
+    from pyspark.sql import types as T
+
+    df = spark.range(2)
+    assert soak.evolve(df, T.StructType().add("id", "long").add("x", T.ArrayType(T.DoubleType()))).schema["x"].dataType == T.ArrayType(T.DoubleType())
+    with pytest.raises(ValueError, match="may not be null"):
+        soak.evolve(df, T.StructType().add("y", "long", False))
+
+
+def test_gate_of_one_long_device(spark):
+    """A frame that is read anew for each row takes minutes here."""
+    import random
+    import time
+
+    from kinemetry.operators import gate
+
+    r = random.Random(1)
+    flags = [r.random() < 0.4 for _ in range(40_000)]
+    df = spark.createDataFrame([(0, i, f) for i, f in enumerate(flags)], "device_id long, idx long, flag boolean")
+    begun = time.time()
+    got = sorted((x.start_idx, x.alert_idx, x.clear_idx) for x in gate.episodes(gate.marked(df, ["device_id"], ["idx"], "flag", F.lit(2), F.lit(3)), ["device_id"], ["idx"], "idx", F.lit(2)).collect())
+    assert time.time() - begun < 60
+    want, streak, normal, inside = [], 0, 0, False
+    for i, f in enumerate(flags):
+        streak, normal = (streak + 1, 0) if f else (0, normal + 1)
+        if streak == 2 and not inside:
+            inside = True
+            want.append([i - 1, i, None])
+        if normal == 3 and inside:
+            inside = False
+            want[-1][2] = i
+    assert [list(x) for x in got] == want
