@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinemetry.plans import evaluation, ingest, learning, monitoring, serving, soak, spectral
+from kinemetry.plans import evaluation, ingest, learning, live, monitoring, serving, soak, spectral
 
-_MODULES = (monitoring, serving, spectral, evaluation, learning, soak, ingest)
+_MODULES = (monitoring, serving, spectral, evaluation, learning, soak, ingest, live)
 
 
 def queries() -> dict:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinemetry.operators import baseline, features, held_out
+from kinemetry.operators import baseline, features, held_out, regimes
+from kinemetry.plans.live import folder
+from kinemetry.plans.spectral import _points
 from kinemetry.sources.readings import table
 
 
@@ -36,6 +38,24 @@ def learned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("label", "n", *[F.round(c, 4).alias(c) for c in ("threshold", "empirical", "analytic", "ratio")], "contaminated")
 
 
+def chosen_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regimes found among the learn windows of each device (a label), from their standardised operating points."""
+    found = regimes.choose(_points(spark, sf_dir), "label", "vec_id", F.array("a", "b", "c"))
+    return found.select(F.col("device").alias("label"), F.col("id").alias("vec_id"), "regime", "regimes", F.round("silhouette", 6).alias("silhouette"))
+
+
+def effective_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = baseline.learn(_windows(spark, sf_dir), "label")
+    return m.select("label", "n", F.round(regimes.effective_rank("covariance", "shrinkage"), 4).alias("effective_rank"))
+
+
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a model that was saved as a table and read again."""
+    w, at = _windows(spark, sf_dir), f"{folder(spark)}/model"
+    baseline.learn(w, "label").write.parquet(at)
+    return baseline.scores(w, spark.read.parquet(at), "label").groupBy("label").agg(F.count("*").alias("windows"), F.round(F.max("score"), 5).alias("worst"))
+
+
 #: Vectors in a row that make one window of 4096 samples.
 VECTORS = 64
 
@@ -52,4 +72,4 @@ def features37(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Whole vectors have no short SQL; tests hold these queries against numpy.
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (ledoit_wolf, mahalanobis, held_out_distance, learned_thresholds, features37)}
+QUERIES = {f.__name__: f for f in (ledoit_wolf, mahalanobis, held_out_distance, learned_thresholds, features37, chosen_regimes, effective_ranks, saved_model)}

@@ -9,7 +9,7 @@ from kinemetry.plans import catalog, evaluation, learning, soak
 from kinemetry.sources.readings import table
 
 #: Queries with filters, matrices of 64 components, a chi-square quantile or Spark's hash, which SQL lacks; tested below by computing their rows another way.
-WITHOUT_SQL = {"features37", "learned_thresholds", "ledoit_wolf", "mahalanobis", "held_out_distance", "bootstrap_ci", "rate_bounds"}
+WITHOUT_SQL = {"features37", "learned_thresholds", "ledoit_wolf", "mahalanobis", "held_out_distance", "bootstrap_ci", "rate_bounds", "chosen_regimes", "effective_ranks", "saved_model"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -136,3 +136,40 @@ def test_gate_of_one_long_device(spark):
             inside = False
             want[-1][2] = i
     assert [list(x) for x in got] == want
+
+
+def test_regimes_of_planted_clusters():
+    from kinemetry.operators import regimes
+
+    r = np.random.default_rng(3)
+    noise = r.normal(size=(150, 3))
+    assert regimes.split(noise)[0].max() == 0
+    for k in (2, 3, 4):
+        truth = np.arange(160) % k
+        x = r.normal(size=(160, 3)) * 0.3 + np.array([[0, 0, 0], [6, 0, 0], [0, 6, 0], [0, 0, 6]])[truth]
+        label, s = regimes.split(x)
+        assert label.max() + 1 == k and (label == truth).all() and s > 0.8
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        want = []
+        for i in range(160):
+            own = d[i][(truth == truth[i]) & (np.arange(160) != i)].mean()
+            other = min(d[i][truth == c].mean() for c in range(k) if c != truth[i])
+            want.append((other - own) / max(own, other))
+        assert abs(s - np.mean(want)) < 1e-9
+    outlier = np.vstack((r.normal(size=(60, 3)) * 0.1, [[50, 0, 0]]))
+    assert regimes.split(outlier)[0].max() == 0  # one window is no regime
+    assert regimes.directions(np.outer(np.arange(9), [1, 2, 0])) == 1 and regimes.directions(np.ones((4, 3))) == 0
+
+
+def test_learned_regimes_ranks_and_models(spark, data):
+    e = [(r.label, np.array(r.embedding, float)) for r in table(spark, data, "embeddings").collect()]
+    q = catalog.queries()
+    for r in q["effective_ranks"](spark, data).collect():
+        x = np.array([v for k, v in e if k == r.label])
+        s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+        p = s[s > 1e-9] / s[s > 1e-9].sum()
+        assert abs(r.effective_rank - np.exp(-(p * np.log(p)).sum())) < 0.02 * r.effective_rank
+    worst = {r.label: (r.n, r.worst) for r in q["mahalanobis"](spark, data).groupBy("label").agg(F.count("*").alias("n"), F.max("score").alias("worst")).collect()}
+    assert {r.label: (r.windows, r.worst) for r in q["saved_model"](spark, data).collect()} == worst
+    got = q["chosen_regimes"](spark, data).collect()
+    assert {r.label for r in got} == {k for k, _ in e} and all(0 <= r.regime < r.regimes <= 4 for r in got)
