@@ -27,7 +27,7 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate(([len(x), (q * q).sum()], x.sum(0), q @ x, (x.T @ x).ravel()))
 
 
-def model_of(sums: np.ndarray) -> dict:
+def model_of(sums: np.ndarray, shrunk: bool = True) -> dict:
     """Ledoit-Wolf estimate from `_sums` of the windows."""
     p = int(round(math.sqrt(len(sums) - 1))) - 1  # 2 + 2 p + p^2 entries
     n, fourth = int(sums[0]), sums[1]
@@ -39,13 +39,13 @@ def model_of(sums: np.ndarray) -> dict:
     mu, square = np.trace(s) / p, (s * s).sum()
     delta = (square - p * mu * mu) / p
     beta = min((centred / n - square) / (p * n), delta)
-    shrinkage = beta / delta if beta > 0 and delta > 0 else 0.0
+    shrinkage = beta / delta if shrunk and beta > 0 and delta > 0 else 0.0
     covariance = (1 - shrinkage) * s + shrinkage * mu * np.eye(p)
     return {"n": n, "mean": mean.tolist(), "shrinkage": float(shrinkage), "covariance": covariance.tolist(), "precision": np.linalg.pinv(covariance, hermitian=True).tolist()}
 
 
-def learn(windows: DataFrame, regime: str = "regime", x: str = "x") -> DataFrame:
-    """One row per regime: n, mean, shrinkage, covariance, precision.
+def learn(windows: DataFrame, regime: str = "regime", x: str = "x", shrunk: bool = True) -> DataFrame:
+    """One row per regime: n, mean, shrinkage, covariance (as it is counted, if not `shrunk`), precision.
 
     Vectors are standardised before, all of one length. Rows whose regime or vector is null, or whose vector holds a null
     or non-finite component, don't count; a single row has a zero covariance and precision. No rows give no rows."""
@@ -81,7 +81,7 @@ def learn(windows: DataFrame, regime: str = "regime", x: str = "x") -> DataFrame
     def finished(sums: pa.Array) -> pa.Array:
         kinds = [pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.list_(pa.list_(pa.float64()))] * 2]
         names = ["n", "mean", "shrinkage", "covariance", "precision"]
-        return pa.array([model_of(np.array(s)) for s in sums.to_pylist()], pa.struct(list(zip(names, kinds, strict=True))))
+        return pa.array([model_of(np.array(s), shrunk) for s in sums.to_pylist()], pa.struct(list(zip(names, kinds, strict=True))))
 
     return whole.select(F.col("regime").alias(regime), finished("sums").alias("m")).select(regime, "m.*")
 

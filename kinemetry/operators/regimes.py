@@ -96,13 +96,12 @@ def choose(windows: DataFrame, device: str, order: str, point: Column) -> DataFr
 
 
 @F.pandas_udf(T.DoubleType())
-def effective_rank(covariance: pd.Series, shrinkage: pd.Series) -> pd.Series:
-    """exp of the entropy of the singular values' shares, from a shrunk covariance: shrinking keeps the trace."""
+def effective_rank(covariance: pd.Series) -> pd.Series:
+    """exp of the entropy of the singular values' shares of centred rows, from their covariance."""
     out = []
-    for c, w in zip(covariance, shrinkage, strict=True):
-        m = np.stack(c)
-        own = np.linalg.eigvalsh(m) - w * np.trace(m) / len(m)
-        s = np.sqrt(np.maximum(own, 0) / max(1 - w, 1e-12))
-        p = s[s > 0] / s.sum() if s.sum() > 0 else np.ones(1)
+    for c in covariance:
+        own = np.linalg.eigvalsh(np.stack(c))
+        s = np.sqrt(own[own > 1e-12 * max(own[-1], 1e-300)])
+        p = s / s.sum() if len(s) else np.ones(1)
         out.append(float(np.exp(-(p * np.log(p)).sum())))
     return pd.Series(out)

@@ -45,8 +45,9 @@ def chosen_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effective_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = baseline.learn(_windows(spark, sf_dir), "label")
-    return m.select("label", "n", F.round(regimes.effective_rank("covariance", "shrinkage"), 4).alias("effective_rank"))
+    """How many directions each regime's windows vary in, whole vectors."""
+    m = baseline.learn(_windows(spark, sf_dir), "label", shrunk=False)
+    return m.select("label", "n", F.round(regimes.effective_rank("covariance"), 4).alias("effective_rank"))
 
 
 def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
