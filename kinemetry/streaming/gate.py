@@ -22,7 +22,7 @@ def scored(events: DataFrame, thresholds: DataFrame) -> DataFrame:
             .join(thresholds, "regime").withColumn("anomalous", F.col("score") > F.col("threshold")))
 
 
-def alerts(flags: DataFrame, need: int, clear: int = 4) -> DataFrame:
+def alerts(flags: DataFrame, need: int, clear: int = 2) -> DataFrame:
     """One row per alert of a stream with device_id, event_id, t and anomalous: the window that fired
     it, and how many windows had persisted."""
     need = max(1, need)
