@@ -20,6 +20,8 @@ KAISER, REACH, LARGEST = 5.0, 10, 1000
 OVER, EDGE = 4, 64
 #: Fixed values of the band's share: the longest segment and how many; of the codec's limit: segment, band in hertz.
 SEGMENT, SEGMENTS, WELCH, STEP = 1 << 15, 16, 8192, 1000.0
+#: Fixed values of taps: times the median level, seconds of ring-down and the least of them, the lowest resonance in hertz.
+LOUD, RING, SPECK, RESONANCE = 8.0, 0.05, 0.005, 800.0
 #: Output samples computed at once.
 BLOCK = 1 << 14
 
@@ -116,6 +118,39 @@ def cutoff(x: np.ndarray, fs: float, drop_db: float = 40.0) -> float | None:
     return float(edges[first]) if dead[first:].all() else None
 
 
+def ring(x: np.ndarray, fs: float) -> tuple[float, float]:
+    """The strongest resonance of a ring-down, in hertz, and its quality: that over the width at half its power."""
+    mag = np.abs(np.fft.rfft(x * np.hanning(len(x))))
+    f = np.fft.rfftfreq(len(x), 1 / fs)
+    if f[-1] < RESONANCE:
+        return 0.0, 0.0
+    top = int(np.where(f >= RESONANCE, mag, -1).argmax())
+    low = np.flatnonzero(mag <= mag[top] / math.sqrt(2))
+    below, above = low[low <= top], low[low >= top]
+    width = f[above[0] if len(above) else -1] - f[below[-1] if len(below) else 0]
+    return float(f[top]), float(f[top] / width) if width > 0 else 0.0
+
+
+def find_taps(x: np.ndarray, fs: float) -> list[dict]:
+    """Each tap of a mounting test: where it rises far above the median level, where its ring-down ends, and what rings.
+    Rises within a ring-down belong to it, and one cut short by the end is none."""
+    if not len(x):
+        return []
+    loud = np.abs(x) > LOUD * (np.median(np.abs(x)) + 1e-12)
+    rises = np.flatnonzero(loud[1:] & ~loud[:-1])
+    out, i = [], 0
+    while i < len(rises):
+        start = int(rises[i])
+        stop = min(start + int(RING * fs), len(x))
+        if stop - start > SPECK * fs:
+            rate, q = ring(x[start:stop], fs)
+            out.append({"start": start, "stop": stop, "resonance": rate, "q": q})
+            i = int(np.searchsorted(rises, stop))
+        else:
+            i += 1
+    return out
+
+
 def _column(of: Callable, kind: str) -> Callable:
     def each(x: pd.Series, *more: pd.Series) -> pd.Series:
         return pd.Series([None if v is None or any(pd.isna(a) for a in args) else of(np.asarray(v, float), *args) for v, *args in zip(x, *more, strict=True)], dtype=object)
@@ -141,3 +176,8 @@ def analytic(x: Column) -> Column:
 
 def lossy_cutoff(x: Column, fs: Column) -> Column:
     return _column(cutoff, "double")(x, fs)
+
+
+def taps_of(x: Column, fs: Column) -> Column:
+    """(start, stop, resonance, q) of each tap, by its samples."""
+    return _column(find_taps, "array<struct<start: int, stop: int, resonance: double, q: double>>")(x, fs)

@@ -56,3 +56,20 @@ def test_null_and_empty_signals(spark):
     x, fs = F.col("x"), F.lit(16000.0)
     got = {r.id: r for r in rows.select("id", rates.true_peak(x).alias("p"), rates.resampled(x, fs, 8000.0).alias("y"), rates.band_share(x, fs, 1.0, 2.0).alias("s"), rates.lossy_cutoff(x, fs).alias("c")).collect()}
     assert got[1].p is None and got[1].y is None and got[1].s is None and got[2].y == [] and len(got[3].y) == 40 and got[3].c is None
+
+
+def test_taps_and_their_ringing(spark):
+    fs, t = 16000.0, np.arange(1600) / 16000
+    x = np.random.default_rng(2).normal(size=16000) * 1e-3
+    for at in (2000, 7000, 15950):
+        n = min(1600, len(x) - at)
+        x[at : at + n] += (np.exp(-60 * t) * np.sin(2 * np.pi * 2000 * t + 1))[:n]
+    got = rates.find_taps(x, fs)
+    first = {g["start"] for g in got}
+    assert {1999, 6999} <= first and all(b["start"] >= a["stop"] for a, b in zip(got, got[1:], strict=False))
+    assert all(g["stop"] - g["start"] > 80 for g in got) and 15949 not in first  # 50 samples are a speck
+    assert all(abs(g["resonance"] - 2000) <= 20 and 20 < g["q"] < 60 for g in got if g["start"] in (1999, 6999))
+    assert rates.find_taps(np.zeros(100), fs) == rates.find_taps(np.zeros(0), fs) == []
+    assert rates.ring(np.ones(8), 800.0) == (0.0, 0.0)
+    rows = spark.createDataFrame([(x.tolist(),), (None,)], "x array<double>").select(rates.taps_of(F.col("x"), F.lit(fs)).alias("t")).collect()
+    assert rows[1].t is None and [r.start for r in rows[0].t] == [g["start"] for g in got]
