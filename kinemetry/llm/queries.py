@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinemetry.llm import (
-    byte_bpe, chat_format, embedding_dedup, html_extract, language_id, line_dedup, packing, quality_rules, simhash, token_counts)
-from kinemetry.llm.common import table
+    annulus, byte_bpe, chat_format, embedding_dedup, exact_dedup, html_extract, importance, language_id, line_dedup, packing, quality_rules, simhash, token_counts)
+from kinemetry.llm.common import table, written
 
 
 def held_out() -> F.Column:
@@ -66,13 +68,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+#: The clustering that is asked for: centroids, rounds, seed, components.
+CLUSTERS, ROUNDS, SEED, COMPONENTS = 8, 10, 3, 64
+
+
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = annulus.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, SEED, COMPONENTS)
+    found, _ = written(found)
+    digests = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
+    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))  # a row per centroid
+    total = sums.agg(F.sum("cluster_inertia").alias("inertia"))
+    each = sums.join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster").withColumn("inertia", total.scalar())
+    return found.join(F.broadcast(each), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.classes(docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)), carry=("text_sha256",))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_embedding_dedup, op4_line_dedup, op5_token_counts, op6_packing, op7_chat_format,
-                                    op8_html_extract, op9_byte_bpe, op10_quality_rules)}
+                                    op8_html_extract, op9_byte_bpe, op10_quality_rules, op11_centroid_clustering, op12_importance_resampling, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3, "op4_line_dedup": OP4}
+    return {"op3_embedding_dedup": OP3, "op4_line_dedup": OP4, "op11_centroid_clustering": op11_sql(), "op12_importance_resampling": OP12, "op13_exact_dedup": OP13}
 
 
 OP3 = """
@@ -108,3 +134,66 @@ SELECT x.doc_id, CASE WHEN x.text IS NULL THEN NULL WHEN g.doc_id IS NULL THEN x
   coalesce(g.n_lines, CASE WHEN x.text IS NULL THEN 0 ELSE len(string_split(x.text, chr(10))) END)::BIGINT AS n_lines, coalesce(g.n_removed, 0)::BIGINT AS n_removed
 FROM documents x LEFT JOIN g ON g.doc_id = x.doc_id
 """
+
+
+def op11_sql() -> str:
+    """Lloyd's rounds, each as its own tables."""
+    whole = "(s - ((s % n) + n) % n) // n"
+    away = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    nearest = f"SELECT v.r, min((({away}), c.k)) AS best FROM v, c{{0}} AS c GROUP BY v.r"
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({annulus.SCALE} * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, vec_id, x) - 1 AS k, x FROM (SELECT sha256('{SEED}:' || vec_id) AS h, vec_id, x FROM v) ORDER BY h, vec_id, x LIMIT {CLUSTERS}
+)"""]
+    for i in range(ROUNDS):
+        steps.append(f"""
+a{i} AS MATERIALIZED ({nearest.format(i)}),
+m{i} AS MATERIALIZED (
+  SELECT k, list({whole} ORDER BY i) AS x FROM (
+    SELECT a.best[2] AS k, e.i, sum(v.x[e.i]) AS s, count(*) AS n FROM a{i} a JOIN v USING (r), (SELECT unnest(range(1, {COMPONENTS + 1})) AS i) e GROUP BY ALL) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x)::BIGINT[] AS x FROM c{i} c LEFT JOIN m{i} m USING (k))""")
+    return "WITH " + ",".join(steps) + f""",
+f AS MATERIALIZED ({nearest.format(ROUNDS)})
+SELECT v.vec_id, f.best[2]::INTEGER AS cluster, f.best[1]::BIGINT AS distance, (sum(f.best[1]) OVER (PARTITION BY f.best[2]))::BIGINT AS cluster_inertia,
+  (sum(f.best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM f JOIN v USING (r) JOIN c{ROUNDS} c ON c.k = f.best[2]
+"""
+
+
+OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), goal AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), every AS (SELECT doc_id, unnest(words) AS w FROM docs),
+crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), bytes AS (
+  SELECT w, list_transform(range(1, length(hex(w)) // 2 + 1), lambda i: ('0x' || substr(hex(w), 2 * i - 1, 2))::BIGINT) AS b FROM (SELECT w FROM every UNION SELECT w FROM goal)
+), bucket AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS k FROM bytes, crc
+), s AS (SELECT k, count(*) AS n FROM every JOIN bucket USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM goal JOIN bucket USING (w) GROUP BY k),
+gain AS (
+  SELECT s.k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM every) + 10000) / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM goal) + 10000))))::BIGINT AS g
+  FROM s LEFT JOIN t USING (k)
+), sums AS (SELECT doc_id, sum(g)::BIGINT AS g, count(*) AS n FROM every JOIN bucket USING (w) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM documents d LEFT JOIN sums USING (doc_id)
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.weight + s.noise AS score, CASE WHEN r.rank <= 10 * r.n // 100 THEN r.rank END AS rank
+FROM scored s LEFT JOIN ranks r USING (doc_id)
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY body)
+"""
