@@ -47,8 +47,10 @@ def test_shares_envelopes_and_cutoffs():
     f = np.fft.rfftfreq(len(noise), 1 / 44100)
     cut = np.fft.irfft(np.where(f < 10000, spectrum, spectrum * 1e-4))
     notch = np.fft.irfft(np.where((f >= 10000) & (f < 11000), spectrum * 1e-4, spectrum))
-    assert rates.cutoff(cut, 44100.0) in (10000.0, 11000.0)
-    assert rates.cutoff(noise, 44100.0) is None and rates.cutoff(notch, 44100.0) is None and rates.cutoff(np.zeros(9000), 44100.0) is None
+    both = np.fft.irfft(np.where((f < 10000) & ((f < 5000) | (f >= 6000)), spectrum, spectrum * 1e-4))
+    got = rates.cutoff(np.stack((cut, noise, notch, both)), 44100.0)
+    assert got[0] in (10000.0, 11000.0) and np.isnan(got[1:3]).all() and got[3] == got[0]
+    assert np.isnan(rates.cutoff(np.zeros(9000), 44100.0)) and np.isnan(rates.cutoff(noise[:9000], 8000.0)) and np.isnan(rates.cutoff(noise[:1], 44100.0))
 
 
 def test_null_and_empty_signals(spark):
@@ -64,12 +66,40 @@ def test_taps_and_their_ringing(spark):
     for at in (2000, 7000, 15950):
         n = min(1600, len(x) - at)
         x[at : at + n] += (np.exp(-60 * t) * np.sin(2 * np.pi * 2000 * t + 1))[:n]
-    got = rates.find_taps(x, fs)
+    rows = spark.createDataFrame([(1, x.tolist()), (2, None), (3, [0.0] * 100), (4, []), (5, [1.0])], "id int, audio array<double>").withColumn("fs", F.lit(fs))
+    found = rates.tapped(rows).orderBy("start").collect()
+    got = [r.asDict() for r in found if r.id == 1]
+    assert len(got) == len(found)
     first = {g["start"] for g in got}
     assert {1999, 6999} <= first and all(b["start"] >= a["stop"] for a, b in zip(got, got[1:], strict=False))
     assert all(g["stop"] - g["start"] > 80 for g in got) and 15949 not in first  # 50 samples are a speck
-    assert all(abs(g["resonance"] - 2000) <= 20 and 20 < g["q"] < 60 for g in got if g["start"] in (1999, 6999))
-    assert rates.find_taps(np.zeros(100), fs) == rates.find_taps(np.zeros(0), fs) == []
-    assert rates.ring(np.ones(8), 800.0) == (0.0, 0.0)
-    rows = spark.createDataFrame([(x.tolist(),), (None,)], "x array<double>").select(rates.taps_of(F.col("x"), F.lit(fs)).alias("t")).collect()
-    assert rows[1].t is None and [r.start for r in rows[0].t] == [g["start"] for g in got]
+    assert all(abs(g["resonance"] - 2000) <= 20 and abs(g["q"] / quality(x[g["start"] : g["stop"]], fs) - 1) < 0.35 for g in got if g["start"] in (1999, 6999))
+    assert [v.tolist() for v in rates.ring(np.ones(8), 800.0)] == [[0.0], [0.0]]
+    assert [r.t for r in rows.orderBy("id").select(rates.tap_starts(F.col("audio"), F.col("fs")).alias("t")).collect()][1:] == [None, [], [], []]
+
+
+def quality(x, fs):
+    """By a spectrum so fine that its bins are the width."""
+    fine = np.abs(np.fft.rfft(x * np.hanning(len(x)), 64 * len(x)))
+    f = np.fft.rfftfreq(64 * len(x), 1 / fs)
+    top = int(np.where(f >= 800, fine, 0).argmax())
+    low = np.flatnonzero(fine <= fine[top] / np.sqrt(2))
+    return f[top] / (f[low[low > top][0]] - f[low[low < top][-1]])
+
+
+def test_width_at_half_power_is_interpolated():
+    fs, n = 16000.0, 800
+    t = np.arange(n) / fs
+    for rate in (1500.0, 2010.0, 3333.0):
+        x = np.exp(-300 * t) * np.sin(2 * np.pi * rate * t)
+        near, q = rates.ring(x, fs)
+        assert abs(near[0] - rate) <= fs / n and abs(q[0] / quality(x, fs) - 1) < 0.35
+
+
+def test_matrices_are_their_rows():
+    x = np.random.default_rng(5).normal(size=(3, 70000))
+    assert np.allclose(rates.share(x, 16000.0, 100, 3000), [rates.share(v, 16000.0, 100, 3000) for v in x])
+    assert np.allclose(rates.peak_dbtp(x[:, :5000]), [rates.peak_dbtp(v) for v in x[:, :5000]])
+    assert np.allclose(rates.resample(x[:, :500], 8, 15), [rates.resample(v, 8, 15) for v in x[:, :500]])
+    assert np.allclose(rates.ring(x[:, :800], 16000.0), np.transpose([[v[0] for v in rates.ring(r, 16000.0)] for r in x[:, :800]]))
+    assert abs(rates.share(x[0], 16000.0, 0, 4000) - 0.5) < 0.02
