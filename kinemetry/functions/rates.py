@@ -211,8 +211,8 @@ def tap_starts(x: Column, fs: Column) -> Column:
     ring_for, least = F.floor(RING * fs).cast("int"), SPECK * fs
 
     def found(level: Column) -> Column:
-        return A.bound(F.array_sort(level), lambda order: A.bound(
-            LOUD * ((order[F.floor((n - 1) / 2).cast("int")] + order[F.floor(n / 2).cast("int")]) / 2 + 1e-12), lambda limit: F.filter(
+        return A.bound(F.sort_array(level), lambda order: A.bound(
+            LOUD * ((F.get(order, F.floor((n - 1) / 2).cast("int")) + F.get(order, F.floor(n / 2).cast("int"))) / 2 + 1e-12), lambda limit: F.filter(
                 F.zip_with(F.slice(level, 1, n - 1), F.transform(F.slice(level, 2, n - 1), lambda b, i: F.struct(b.alias("b"), i.alias("i"))),
                            lambda a, b: F.when((a <= limit) & (b["b"] > limit), b["i"])), lambda i: F.least(ring_for, n - i) > least)))
 

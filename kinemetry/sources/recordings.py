@@ -4,7 +4,6 @@ A file that can't be used has its reason in `error` and no samples; no file stop
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinemetry.functions import arrays as A
 from kinemetry.functions.audit import gain
 from kinemetry.sources.signals import parse_wav
 
@@ -23,90 +23,105 @@ SIGNALS = ("path string, fs double, channels int, time_column boolean, header bo
 #: a stated rate may differ from the file's own by this share; fewer rows are no signal.
 START, REGULAR, APART, ROWS = 5.0, 0.95, 0.01, 4
 KINDS = ("wav", "csv", "txt")
-_ARROW = pa.schema([("path", pa.string()), ("fs", pa.float64()), ("channels", pa.int32()), ("time_column", pa.bool_()), ("header", pa.bool_()),
-                    ("jitter", pa.float64()), ("seconds", pa.float64()), ("samples", pa.list_(pa.list_(pa.float64()))), ("error", pa.string())])
-
-
-def _numbers(fields: list[str]) -> bool:
-    try:
-        return all(float(f) is not None for f in fields if f.strip())
-    except ValueError:
-        return False
-
-
-def is_time(t: np.ndarray) -> bool:
-    """Whether a column is a time axis: it rises at every row from near zero, mostly by even steps. A few lost
-    rows don't make it a signal; they show as jitter."""
-    step = np.diff(t)
-    if len(t) < ROWS or not (step > 0).all() or t[0] > START:
-        return False
-    return bool((np.abs(step - np.median(step)) < np.median(step) / 2).mean() >= REGULAR)
-
-
-def parse_csv(data: bytes, fs: float | None = None, channel: int | None = None, strict: bool = False) -> dict:
-    """Samples (channels x rows) and rate of a CSV. The first line is a header if it isn't all numbers. Without a
-    time column the rate must be given; with one, a given rate must agree. `strict` demands a rising first column
-    as time beside a signal, as of an accelerometer. Raises ValueError."""
-    text = data.decode("utf-8-sig")
-    first = text.partition("\n")[0]
-    if not first.strip():
-        raise ValueError("empty")
-    header = not _numbers(first.replace("\t", ",").split(","))
-    rows = text.partition("\n")[2] if header else text
-    if not rows.strip():
-        raise ValueError("no numeric rows")
-    table = np.loadtxt(io.StringIO(rows), delimiter=",", ndmin=2)
-    if len(table) < ROWS:
-        raise ValueError(f"only {len(table)} rows")
-    if strict and (table.shape[1] < 2 or not (np.diff(table[:, 0]) > 0).all()):
-        raise ValueError("no rising time beside a signal")
-    out = {"header": header, "time_column": strict or table.shape[1] >= 2 and is_time(table[:, 0]), "jitter": None, "seconds": None}
-    if out["time_column"]:
-        t, table = table[:, 0], table[:, 1:]
-        step, middle = np.diff(t), float(np.median(np.diff(t)))
-        out |= {"jitter": float(np.abs(step - middle).max() / middle), "seconds": float(t[-1] - t[0])}
-        if fs and abs(fs * middle - 1) > APART:
-            raise ValueError(f"stated rate {fs:g} Hz, but {1 / middle:.3f} Hz by the time column")
-        fs = 1 / middle
-    elif not fs:
-        raise ValueError("no time column and no stated rate")
+_ARROW = pa.schema([("path", pa.string()), ("fs", pa.float64()), ("channels", pa.int32()), ("samples", pa.list_(pa.list_(pa.float64()))), ("error", pa.string())])
+#: What may part the fields of a CSV; the first of those that part its first line into most fields does.
+SEPARATORS = (",", ";", "\t")
+
+
+def _rows(text: Column) -> tuple[Column, Column, Column]:
+    """The lines of a text that hold something, their separator, and their fields as trimmed strings."""
+    lines = F.filter(F.split(F.ltrim(text, F.lit("\ufeff")), "\r?\n"), lambda line: F.regexp_like(line, F.lit(r"\S")))
+    split_by = F.array_max(F.array(*[F.struct((F.length(F.get("lines", F.lit(0))) - F.length(F.replace(F.get("lines", F.lit(0)), F.lit(s), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)]))["s"]
+    fields = F.transform("lines", lambda line: F.transform(F.split(line, F.col("by")), lambda f: F.btrim(f, F.lit(" \t\r"))))
+    return lines, split_by, fields
+
+
+def _median(ordered: Column) -> Column:
+    n = F.size(ordered)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
+def csv_signals(texts: DataFrame, fs: float | None = None, channel: int | None = None, strict: bool = False) -> DataFrame:
+    """SIGNALS of CSV texts (path, text), and `findings`, all that is wrong with each; the first is its `error`, and where
+    there is one there are no samples.
+
+    Fields are parted by comma, semicolon or tab. The first line is a header if it holds a field that is no number. The
+    first column is the time if it rises at every row from near zero, mostly by even steps (a few lost rows show as
+    jitter). Without a time column the rate must be given; with one, a given rate must agree. `strict` demands a rising
+    first column as time beside a signal, as of an accelerometer."""
+    number = lambda f: f.try_cast("double")
+    lines, by, fields = _rows(F.col("text"))
+    df = texts.select("path", "text", lines.alias("lines")).withColumn("by", F.when(F.size("lines") > 0, by)).withColumn("fields", fields)
+    named = F.exists(F.get("fields", F.lit(0)), lambda f: (f != "") & number(f).isNull())
+    df = df.withColumn("header", F.coalesce(F.when(F.size("lines") > 0, named), F.lit(False)))
+    df = df.withColumn("rows", F.transform(F.slice("fields", F.when(F.col("header"), 2).otherwise(1), F.greatest(F.size("fields"), F.lit(1))), lambda r: F.transform(r, number)))
+    df = df.withColumn("n", F.size("rows")).withColumn("width", F.when(F.col("n") > 0, F.size(F.get("rows", F.lit(0)))))
+    odd = F.filter(F.transform("rows", lambda r, i: F.when((F.size(r) != F.col("width")) | F.exists(r, F.isnull), i)), F.isnotnull)
+    df = df.withColumn("odd", F.when(F.col("n") > 0, F.get("lines", F.get(odd, F.lit(0)) + F.col("header").cast("int")))).drop("fields")
+    df = df.withColumn("t", F.when(F.col("odd").isNull() & (F.col("n") >= ROWS), F.transform("rows", lambda r: F.get(r, F.lit(0)))))
+    df = df.withColumn("steps", F.zip_with(F.slice("t", 2, F.size("t") - 1), F.slice("t", 1, F.size("t") - 1), lambda b, a: b - a))
+    df = df.withColumn("step", A.bound(F.sort_array("steps"), _median)).withColumn("rising", F.coalesce(F.array_min("steps") > 0, F.lit(False)))
+    even = F.size(F.filter("steps", lambda s: F.abs(s - F.col("step")) < F.col("step") / 2)) >= REGULAR * F.size("steps")
+    timed = F.lit(True) if strict else F.coalesce((F.col("width") >= 2) & F.col("rising") & (F.get("t", F.lit(0)) <= START) & even, F.lit(False))
+    df = df.withColumn("time_column", timed).withColumn("channels", F.col("width") - F.col("time_column").cast("int"))
+    own, stated = 1 / F.when(F.col("rising"), F.col("step")), F.lit(fs).cast("double")
+    cases = [
+        (F.col("text").isNull(), F.lit("not UTF-8")), (F.size("lines") == 0, F.lit("empty")), (F.col("n") == 0, F.lit("no numeric rows")),
+        (F.col("odd").isNotNull(), F.concat(F.lit("not a row of numbers: "), F.substring("odd", 1, 80))), ((F.col("n") > 0) & (F.col("n") < ROWS), F.format_string("only %d rows", "n")),
+        (F.lit(strict) & F.col("t").isNotNull() & ((F.col("width") < 2) | ~F.col("rising")), F.lit("no rising time beside a signal")),
+        (F.col("time_column") & (F.abs(stated / own - 1) > APART), F.format_string("stated rate %.3f Hz, but %.3f Hz by the time column", stated, own)),
+        (~F.col("time_column") & stated.isNull(), F.lit("no time column and no stated rate"))]
     if channel is not None:
-        if not 0 <= channel < table.shape[1]:
-            raise ValueError(f"no channel {channel} among {table.shape[1]}")
-        table = table[:, channel : channel + 1]
-    return out | {"fs": float(fs), "channels": table.shape[1], "samples": table.T.tolist(), "error": None}
-
-
-def _parsed(path: str, data: bytes, fs: float | None, channel: int | None, strict: bool, need: float | None) -> dict:
-    empty = {"path": path, **{n: None for n in _ARROW.names[1:]}}
-    try:
-        kind = path.rpartition(".")[2].lower()
-        if kind not in KINDS:
-            raise ValueError(f"files of kind {kind} are not read here")
-        if kind == "wav":
+        cases.append(((F.col("channels") <= channel) | F.lit(channel < 0), F.format_string(f"no channel {channel} among %d", "channels")))
+    df = df.withColumn("findings", F.array_compact(F.array(*[F.when(c, m) for c, m in cases]))).withColumn("error", F.try_element_at("findings", F.lit(1)))
+    first = F.col("time_column").cast("int")
+    every = F.sequence(first, F.col("width") - 1) if channel is None else F.array(first + channel)
+    samples = F.transform(every, lambda c: F.transform("rows", lambda r: F.get(r, c)))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    timing = lambda c: good(F.when(F.col("time_column"), c))
+    jitter = F.array_max(F.transform("steps", lambda s: F.abs(s - F.col("step")))) / F.col("step")
+    out = F.struct("path", good(F.when(F.col("time_column"), own).otherwise(stated)).alias("fs"), good(F.size(every)).alias("channels"), good(F.col("time_column")).alias("time_column"), good(F.col("header")).alias("header"),
+                   timing(jitter).alias("jitter"), timing(F.try_element_at("t", F.lit(-1)) - F.get("t", F.lit(0))).alias("seconds"), good(samples).alias("samples"), "error", "findings")
+    # generated, not projected: a filter on a column of the result would be written out down to the text
+    return df.select(F.inline(F.array(out)))
+
+
+def wav_signals(files: DataFrame, channel: int | None = None) -> DataFrame:
+    """SIGNALS of WAV files (path, content), and `findings`."""
+
+    def one(name: str, data: bytes) -> dict:
+        try:
             rate, x = parse_wav(data)
             x = x if channel is None else x[:, [channel]]
-            got = {"fs": rate, "channels": x.shape[1], "time_column": False, "header": False, "seconds": len(x) / rate, "samples": x.T.tolist()}
-        else:
-            got = parse_csv(data, fs, channel, strict)
-        if need and abs(got["fs"] - need) > 1e-9:
-            raise ValueError(f"{got['fs']:g} Hz, not {need:g}")
-        return empty | got
-    except (ValueError, IndexError, struct.error) as e:
-        return empty | {"error": str(e)}
-
-
-def signal_files(spark: SparkSession, path: str, fs: float | None = None, channel: int | None = None, strict: bool = False, need: float | None = None) -> DataFrame:
-    """A row per file below `path` (SIGNALS), read by its kind. `fs` is the rate of CSV files without time, `channel`
-    selects one, `strict` reads CSV files as an accelerometer's, and `need` refuses files of another rate."""
+            return {"path": name, "fs": rate, "channels": x.shape[1], "samples": x.T.tolist(), "error": None}
+        except (ValueError, IndexError, struct.error) as e:
+            return {"path": name, "fs": None, "channels": None, "samples": None, "error": str(e)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                yield pa.RecordBatch.from_pylist([_parsed(name, data, fs, channel, strict, need)], schema=_ARROW)
+                yield pa.RecordBatch.from_pylist([one(name, data)], schema=_ARROW)
 
+    got = files.select("path", "content").mapInArrow(read, "path string, fs double, channels int, samples array<array<double>>, error string")
+    good, none = F.col("error").isNull(), F.lit(None)
+    return got.select("path", "fs", "channels", F.when(good, False).alias("time_column"), F.when(good, False).alias("header"), none.cast("double").alias("jitter"),
+                      (F.size(F.get("samples", F.lit(0))) / F.col("fs")).alias("seconds"), "samples", "error", F.array_compact(F.array("error")).alias("findings"))
+
+
+def signal_files(spark: SparkSession, path: str, fs: float | None = None, channel: int | None = None, strict: bool = False, need: float | None = None) -> DataFrame:
+    """A row per file below `path` (SIGNALS and `findings`), read by its kind. `fs` is the rate of CSV files without time,
+    `channel` selects one, `strict` reads CSV files as an accelerometer's, and `need` refuses files of another rate."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(read, SIGNALS)
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    csv = csv_signals(files.where(kind.isin("csv", "txt")).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")), fs, channel, strict)
+    other = files.where(~kind.isin(*KINDS)).select("path", F.concat(F.lit("files of kind "), kind, F.lit(" are not read here")).alias("error")).withColumn("findings", F.array("error"))
+    every = csv.unionByName(wav_signals(files.where(kind == "wav"), channel)).unionByName(other, allowMissingColumns=True)
+    if not need:
+        return every
+    off = F.abs(F.col("fs") - need) > 1e-9
+    every = every.withColumn("findings", F.when(off, F.concat("findings", F.array(F.format_string(f"%.3f Hz, not {need:g}", "fs")))).otherwise(F.col("findings")))
+    every = every.withColumn("error", F.try_element_at("findings", F.lit(1)))
+    return every.select("path", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in every.columns[1:-2]], "error", "findings")
 
 
 def wav(x: Column, fs: Column) -> Column:
