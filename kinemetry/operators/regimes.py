@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 #: distance of two centres, least silhouette (along one direction; otherwise), share of the largest spread that counts.
 LEARN, TRIED, LEAST_WINDOWS, LEAST_GAP, LEAST_SILHOUETTE, SPREAD = 200, (2, 3, 4), 8, 1.0, (0.75, 0.5), 0.05
 RESTARTS, ROUNDS = 10, 100
-CHOSEN = "id long, regime int, regimes int, silhouette double"
 
 
 def directions(x: np.ndarray) -> int:
@@ -59,40 +58,58 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(own > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0).mean())
 
 
-def split(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """The regime of each row, and the silhouette of the split (-1: one regime)."""
-    best = -1.0, np.zeros(len(x), int)
-    for k in TRIED:
-        if len(x) < k * LEAST_WINDOWS:
-            break
+def candidates(x: np.ndarray) -> pd.DataFrame:
+    """A row for each number of regimes tried: its labels, the windows of the smallest regime, the least distance of
+    two centres, the silhouette, and the least silhouette that rows which vary so need."""
+    need = LEAST_SILHOUETTE[directions(x) > 1]
+    rows = []
+    for k in (k for k in TRIED if k <= len(x)):
         label = clustered(x, k)
-        if label.max() + 1 < k or np.bincount(label, minlength=k).min() < LEAST_WINDOWS:
-            continue
-        centres = np.stack([x[label == c].mean(0) for c in range(k)])
-        if _distances(centres, centres)[np.triu_indices(k, 1)].min() < LEAST_GAP:
-            continue
-        if (s := silhouette(x, label)) > best[0]:
-            best = s, label
-    if best[0] < LEAST_SILHOUETTE[directions(x) > 1]:
+        centres = _distances(c := centres_of(x, label), c) + np.diag(np.full(len(c), np.inf))
+        rows.append((k, label, len(c), np.bincount(label).min(), centres.min(), silhouette(x, label) if len(c) > 1 else -1.0, need))
+    return pd.DataFrame(rows, columns=["k", "label", "found", "smallest", "gap", "silhouette", "need"])
+
+
+def centres_of(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    return np.stack([x[label == c].mean(0) for c in range(label.max() + 1)])
+
+
+def split(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The regime of each row, and the silhouette of the split (-1: one regime): of the candidates that hold the one
+    of the greatest silhouette, of fewest regimes among equals."""
+    fit = candidates(x).query("found == k and smallest >= @LEAST_WINDOWS and gap >= @LEAST_GAP and silhouette >= need")
+    if fit.empty:
         return np.zeros(len(x), int), -1.0
-    return best[1], best[0]
+    best = fit.loc[fit["silhouette"].idxmax()]
+    return best["label"], float(best["silhouette"])
 
 
-def choose(windows: DataFrame, device: str, order: str, point: Column) -> DataFrame:
-    """(device, id, regime, regimes, silhouette) of the first LEARN windows of each device: a bounded learn set, as
-    learning has one by definition. Points with a null or non-finite part don't count."""
+def models(windows: DataFrame, device: str, order: str, point: Column) -> DataFrame:
+    """(device, centres, silhouette): the regimes that the first LEARN windows of each device show. LEARN bounds what
+    a device's task holds, as learning has a bounded set by definition; points with a null or non-finite part don't count."""
     kind = windows.schema[device].dataType.simpleString()
-    place = F.row_number().over(Window.partitionBy(device).orderBy(order))
     fine = ~F.exists("p", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    learn = windows.select(F.col(device).alias("device"), F.col(order).cast("long").alias("id"), point.alias("p")).where(fine)
-    learn = learn.withColumn("n", F.row_number().over(Window.partitionBy("device").orderBy("id"))).where(F.col("n") <= LEARN).drop("n")
+    learn = windows.select(F.col(device).alias("device"), F.col(order).alias("id"), point.alias("p")).where(fine)
+    learn = learn.withColumn("n", F.row_number().over(Window.partitionBy("device").orderBy("id"))).where(F.col("n") <= LEARN)
 
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        label, s = split(np.stack(rows["p"]).astype(float))
-        return pd.DataFrame({"device": key[0], "id": rows["id"].to_numpy(), "regime": label.astype(np.int32), "regimes": np.int32(label.max() + 1), "silhouette": s})
+        x = np.stack(rows.sort_values("n")["p"]).astype(float)
+        label, s = split(x)
+        return pd.DataFrame({"device": key[:1], "centres": [centres_of(x, label).tolist()], "silhouette": [s]})
+
+    return learn.drop("id").groupBy("device").applyInPandas(of, f"device {kind}, centres array<array<double>>, silhouette double")
 
-    return learn.groupBy("device").applyInPandas(of, f"device {kind}, {CHOSEN}")
+
+def choose(windows: DataFrame, device: str, order: str, point: Column) -> DataFrame:
+    """(device, id, regime, regimes, silhouette) of every window: the nearest centre of its device's model (`models`;
+    ties: the smaller number). A point with a null or non-finite part has a null regime; so have all windows of a
+    device none of whose points counts. A device null is one device."""
+    every = windows.select(F.col(device).alias("device"), F.col(order).cast("long").alias("id"), point.alias("p"))
+    model = models(windows, device, order, point).withColumnRenamed("device", "own")
+    far = F.transform("centres", lambda c, i: F.struct(F.aggregate(F.zip_with(c, "p", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v).alias("d"), i.alias("i")))
+    d = F.array_min(far)
+    regime = F.when(d["d"] < float("inf"), d["i"]).cast("int")
+    return every.join(model, F.col("device").eqNullSafe(F.col("own")), "left").select("device", "id", regime.alias("regime"), F.size("centres").alias("regimes"), "silhouette")
 
 
 @F.pandas_udf(T.DoubleType())

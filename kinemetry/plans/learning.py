@@ -39,7 +39,8 @@ def learned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chosen_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regimes found among the learn windows of each device (a label), from their standardised operating points."""
+    """The regime of every window, among those that the learn windows of its device (a label) show by their standardised
+    operating points."""
     found = regimes.choose(_points(spark, sf_dir), "label", "vec_id", F.array("a", "b", "c"))
     return found.select(F.col("device").alias("label"), F.col("id").alias("vec_id"), "regime", "regimes", F.round("silhouette", 6).alias("silhouette"))
 

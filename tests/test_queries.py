@@ -172,4 +172,24 @@ def test_learned_regimes_ranks_and_models(spark, data):
     worst = {r.label: (r.n, r.worst) for r in q["mahalanobis"](spark, data).groupBy("label").agg(F.count("*").alias("n"), F.max("score").alias("worst")).collect()}
     assert {r.label: (r.windows, r.worst) for r in q["saved_model"](spark, data).collect()} == worst
     got = q["chosen_regimes"](spark, data).collect()
-    assert {r.label for r in got} == {k for k, _ in e} and all(0 <= r.regime < r.regimes <= 4 for r in got)
+    assert len(got) == len(e) and {r.label for r in got} == {k for k, _ in e} and all(0 <= r.regime < r.regimes <= 4 for r in got)
+
+
+def test_windows_past_the_learn_set_have_a_regime(spark):
+    from kinemetry.operators import regimes
+
+    r = np.random.default_rng(8)
+    rows = [(d, i, (r.normal(size=2) * 0.2 + [(i + d) % 3 * 5, 0]).tolist()) for d in (1, 2) for i in range(700)]
+    rows += [(None, 3, [0.0, 0.0]), (4, 1, None), (4, 2, [1.0, float("nan")]), (1, 900, [float("inf"), 0.0])]
+    got = regimes.choose(spark.createDataFrame(rows, "device long, i long, p array<double>").repartition(5), "device", "i", F.col("p")).collect()
+    assert len(got) == len(rows)
+    for d in (1, 2):
+        names = {}
+        for g in got:
+            if g.device == d and g.id < 900:
+                assert names.setdefault((g.id + d) % 3, g.regime) == g.regime and g.regimes == 3 and g.silhouette > 0.75
+        assert sorted(names.values()) == [0, 1, 2]
+    odd = {(g.device, g.id): g.regime for g in got if g.device is None or g.device == 4 or g.id == 900}
+    assert odd == {(None, 3): 0, (4, 1): None, (4, 2): None, (1, 900): None}
+    table = regimes.candidates(np.array([p for d, _, p in rows[:200]]))
+    assert table["k"].tolist() == [2, 3, 4] and table["silhouette"].idxmax() == 1 and regimes.candidates(np.zeros((1, 2))).empty
