@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinemetry.operators import baseline, features, held_out, regimes
-from kinemetry.plans.live import folder
 from kinemetry.plans.spectral import _points
+from kinemetry.sources.folders import folder
 from kinemetry.sources.readings import table
 
 

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinemetry.plans.monitoring import BASE, CLEAR, NEED, _gate
+from kinemetry.operators.gate import marked
+from kinemetry.sources.folders import folder
 from kinemetry.sources.readings import readings, table
-from kinemetry.streaming import gate
+from kinemetry.streaming import commands, gate, outbox, store
 
 TIERED = "event_id long, tier string, ts_from double, ts_to double, persisted_minutes double"
 #: Seconds of a window, and windows of a start by which another machine is told.
 WINDOW_S, STARTUP = 30.0, 8
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where a local session names none."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        at = tempfile.mkdtemp(prefix="kinemetry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not at:
-        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines share")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     # a pattern, as a stream takes a plain path for a folder; the table may be a file or a folder
@@ -79,25 +67,62 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("event_type").agg(F.count("*").alias("rows"), F.round(F.sum("value"), 3).alias("total"))
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("device_id").agg(F.max_by(F.struct("at", "value"), "at").alias("r")).select("device_id", "r.*")
+
+
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each device's newest reading: every micro-batch is folded into the table of the one before."""
+    """Each device's newest reading: every micro-batch leaves its own, under its number, and the newest of them counts."""
     at = folder(spark)
     e = _events(spark, sf_dir).select(F.col("user_id").alias("device_id"), F.struct("ts", "event_id").alias("at"), "value")
-    schema, made = e.schema, []
-
-    def fold(batch: DataFrame, number: int) -> None:
-        before = [spark.read.schema(schema).parquet(made[-1])] if made else []
-        rows = batch
-        for b in before:
-            rows = rows.unionByName(b)
-        rows.groupBy("device_id").agg(F.max_by(F.struct("at", "value"), "at").alias("r")).select("device_id", "r.at", "r.value").write.mode("overwrite").parquet(new := f"{at}/fold-{number}")
-        made.append(new)
-
-    e.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(schema).parquet(made[-1]) if made else spark.createDataFrame([], schema)
+    e.writeStream.foreachBatch(lambda batch, number: _newest(batch).write.mode("overwrite").parquet(f"{at}/folds/number={number}")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = _newest(spark.read.schema(e.schema).parquet(f"{at}/folds"))
     return rows.select("device_id", F.col("at.event_id").alias("event_id"), F.round("value", 6).alias("value"))
 
 
+def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored windows that commands say were normal: a command, given with an alert, names the windows from its first on."""
+    gated = marked(readings(table(spark, sf_dir, "events")), ["device_id"], ["t", "event_id"], "anomalous", F.lit(NEED), F.lit(CLEAR))
+    first = F.lag("ts", NEED - 1).over(Window.partitionBy("device_id").orderBy("t", "event_id"))
+    spans = gated.withColumn("first", first).where("alert").select("device_id", *[F.col(a).cast("timestamp").alias(b) for a, b in (("first", "ts_from"), ("ts", "ts_to"), ("ts", "issued"))])
+    at = folder(spark)
+    spans.write.parquet(f"{at}/commands")
+    told = spark.readStream.schema(spans.schema).parquet(f"{at}/commands")
+    r = _events(spark, sf_dir).select(F.col("user_id").alias("device_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"))
+    return run(commands.named(r, told)).select("device_id", "event_id", F.round("score", 6).alias("score"))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored events; the link goes down with an `error` and comes back with a `signup`."""
+    link = F.when(F.col("regime") == "error", "down").when(F.col("regime") == "signup", "up")
+    return _scored(spark, sf_dir).select("device_id", "event_id", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("ts"), "t", F.col("anomalous").alias("flag"), link.alias("link"))
+
+
+def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What devices send over a link that goes down: telemetry of when it is up, alerts at once or when it comes back."""
+    rows = run(outbox.sent(_linked(spark, sf_dir), NEED, CLEAR))
+    return rows.select("device_id", "event_id", "kind", F.round("sent_t", 6).alias("sent_t"), F.col("place").cast("long").alias("place"))
+
+
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a device's state holds at the end of the stream: those of the last week."""
+    rows = run(outbox.retained(_linked(spark, sf_dir).select("device_id", "event_id", "t", "ts"), store.KEEP))
+    return rows.groupBy("device_id").agg(F.count(F.when(F.col("action") == "stored", 1)).alias("stored"), F.count(F.when(F.col("action") == "pruned", 1)).alias("pruned"))
+
+
+STORED = "device_id long, event_id long, t double, regime string, score double, anomalous boolean"
+
+
+def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that the store keeps, by regime, and all its anomalies; the clock stands 29 days after the first reading."""
+    wall = table(spark, sf_dir, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).first()["t"]
+    at = folder(spark)
+    store.fold(_scored(spark, sf_dir).select("device_id", "event_id", "t", "regime", "score", "anomalous"), at, (wall or 0.0) + 29 * 86400)
+    kept, bad = store.readings(spark, at, STORED), store.anomalies(spark, at, STORED)
+    return (kept.groupBy("regime").agg(F.count("*").alias("kept")).join(bad.groupBy("regime").agg(F.count("*").alias("anomalies")), "regime", "full")
+            .select("regime", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "anomalies")]))
+
+
 def stream_startup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each device once its first eight windows are in: the share above the threshold, and their median ratio."""
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -121,7 +146,19 @@ SQL = {
     "stream_hourly": "SELECT user_id AS device_id, (epoch_us(ts) // 3600000000)::BIGINT AS hour, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2 HAVING (max(epoch_us(ts) // 3600000000) + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 7200000000 FROM events)",
     "stream_ingest": "SELECT event_type, count(*) AS rows, round(sum(value), 3) AS total FROM events GROUP BY 1",
     "stream_state": "SELECT user_id AS device_id, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_feedback": BASE + _gate() + f""", a AS (SELECT *, lag(ts, {NEED - 1}) OVER (PARTITION BY device_id ORDER BY t, event_id) AS ts_from FROM g)
+SELECT DISTINCT r.device_id, r.event_id, round(r.score, 6) AS score FROM r JOIN a ON a.alert AND a.device_id = r.device_id AND r.ts BETWEEN a.ts_from AND a.ts AND r.ts >= a.ts - INTERVAL 7 DAY""",
+    "stream_outbox": BASE + _gate() + """, l AS (SELECT *, CASE regime WHEN 'error' THEN 'down' WHEN 'signup' THEN 'up' END AS link FROM g WHERE epoch_us(ts) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 7200000 FROM r)),
+o AS (SELECT *, coalesce(last_value(link IGNORE NULLS) OVER w, 'up') = 'up' AS up, min(CASE WHEN link = 'up' THEN t END) OVER (PARTITION BY device_id ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS back
+  FROM l WINDOW w AS (PARTITION BY device_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT device_id, event_id, t, CASE WHEN up THEN t ELSE back END AS sent_t FROM o WHERE alert),
+k AS (SELECT *, row_number() OVER (PARTITION BY device_id, sent_t ORDER BY t DESC, event_id DESC) AS late, row_number() OVER (PARTITION BY device_id, sent_t ORDER BY t, event_id) AS place, count(*) OVER (PARTITION BY device_id, sent_t) AS n FROM s WHERE sent_t IS NOT NULL)
+SELECT device_id, event_id, 'alert' AS kind, round(sent_t, 6) AS sent_t, place - greatest(n - 500, 0) AS place FROM k WHERE late <= 500
+UNION ALL SELECT device_id, event_id, 'telemetry', round(t, 6), 0 FROM o WHERE up""",
+    "stream_retention": """SELECT user_id AS device_id, count(*) AS stored, count(CASE WHEN epoch_us(ts) / 1e6 <= (SELECT max(epoch_us(ts)) // 1000 - 7200000 FROM events) / 1000.0 - 604800 THEN 1 END) AS pruned FROM events GROUP BY 1""",
+    "stream_store": BASE + """, n AS (SELECT least(max(t), min(t) + 29 * 86400 + 3600) AS now FROM r), u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY device_id, t ORDER BY event_id DESC) = 1)
+SELECT regime, (SELECT count(*) FROM u, n WHERE u.regime = x.regime AND t >= now - 604800) AS kept, count(CASE WHEN anomalous THEN 1 END) AS anomalies FROM r x GROUP BY 1""",
     "stream_startup": BASE + """, s AS (SELECT device_id, score / threshold AS q, row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS i FROM r WHERE threshold > 0)
 SELECT device_id, round(avg(CASE WHEN q > 1 THEN 1 ELSE 0 END), 6) AS above, round(quantile_cont(q, 0.5), 6) AS median, avg(CASE WHEN q > 1 THEN 1 ELSE 0 END) >= 0.75 AND quantile_cont(q, 0.5) >= 5 AS mismatch FROM s WHERE i <= 8 GROUP BY 1 HAVING count(*) = 8""",
 }
-QUERIES = {f.__name__: f for f in (stream_tiers, stream_hourly, stream_ingest, stream_state, stream_startup)}
+QUERIES = {f.__name__: f for f in (stream_tiers, stream_hourly, stream_ingest, stream_state, stream_startup, stream_feedback, stream_outbox, stream_retention, stream_store)}
