@@ -29,14 +29,23 @@ def held_out_scores(windows: DataFrame, key: Column, regime: str = "regime", x:
     return scores(own, learn(train, "_model", x), "_model", x).drop("_fold", "_model")
 
 
+def fair_distances(windows: DataFrame, key: Column, models: DataFrame, regime: str = "regime", x: str = "x") -> DataFrame:
+    """(regime, score, n) of every window: its held-out distance, and how many windows its regime has; where these are
+    fewer than ENOUGH the distance to its regime's model in `models`, which has seen it."""
+    sizes = models.select(F.col(f"`{regime}`"), "n")
+    kept = [F.col(f"`{regime}`"), F.col("score"), F.col("n")]
+    few = sizes.where(F.col("n") < ENOUGH)
+    fair = held_out_scores(windows, key, regime, x).join(sizes.where(F.col("n") >= ENOUGH), regime).select(*kept)
+    near = scores(windows.join(few.select(regime), regime, "left_semi"), models, regime, x).join(few, regime).select(*kept)
+    return fair.unionByName(near)
+
+
+def raised(of: Column, n: Column) -> Column:
+    """A threshold from the distances of n windows: if these are in-sample ones, which are too low, by half more."""
+    return of * F.when(n < ENOUGH, RAISED).otherwise(1.0)
+
+
 def learned_thresholds(windows: DataFrame, key: Column, regime: str = "regime", x: str = "x") -> DataFrame:
-    """`baseline.thresholds` of every regime from held-out distances; where a regime has fewer than ENOUGH windows, from
-    in-sample ones, which are too low, raised by half."""
-    models = learn(windows, regime, x)
-    few = models.where(F.col("n") < ENOUGH).select(regime)
-    kept = [F.col(f"`{regime}`"), F.col("score")]
-    fair = held_out_scores(windows, key, regime, x).join(few, regime, "left_anti").select(*kept)
-    near = scores(windows.join(few, regime, "left_semi"), models, regime, x).select(*kept)
-    t = thresholds(fair.unionByName(near), regime)
-    raised = F.when(F.col("n") < ENOUGH, RAISED).otherwise(1.0)
-    return t.select(regime, "n", *[(F.col(c) * raised).alias(c) for c in ("threshold", "empirical", "analytic")], "ratio", "contaminated")
+    """`baseline.thresholds` of every regime from its `fair_distances`."""
+    t = thresholds(fair_distances(windows, key, learn(windows, regime, x), regime, x), regime)
+    return t.select(regime, "n", *[raised(F.col(c), F.col("n")).alias(c) for c in ("threshold", "empirical", "analytic")], "ratio", "contaminated")

@@ -100,16 +100,20 @@ def models(windows: DataFrame, device: str, order: str, point: Column) -> DataFr
     return learn.drop("id").groupBy("device").applyInPandas(of, f"device {kind}, centres array<array<double>>, silhouette double")
 
 
-def choose(windows: DataFrame, device: str, order: str, point: Column) -> DataFrame:
-    """(device, id, regime, regimes, silhouette) of every window: the nearest centre of its device's model (`models`;
-    ties: the smaller number). A point with a null or non-finite part has a null regime; so have all windows of a
-    device none of whose points counts. A device null is one device."""
-    every = windows.select(F.col(device).alias("device"), F.col(order).cast("long").alias("id"), point.alias("p"))
-    model = models(windows, device, order, point).withColumnRenamed("device", "own")
+def assigned(points: DataFrame, model: DataFrame) -> DataFrame:
+    """`points` (device, id, p, ...) with the regime whose centre in `model` (device, centres, silhouette) is nearest (ties:
+    the smaller number), how many regimes the device has, and their silhouette. A point with a null or non-finite part
+    has a null regime; so have all of a device without a model. A device null is one device."""
     far = F.transform("centres", lambda c, i: F.struct(F.aggregate(F.zip_with(c, "p", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v).alias("d"), i.alias("i")))
     d = F.array_min(far)
-    regime = F.when(d["d"] < float("inf"), d["i"]).cast("int")
-    return every.join(model, F.col("device").eqNullSafe(F.col("own")), "left").select("device", "id", regime.alias("regime"), F.size("centres").alias("regimes"), "silhouette")
+    joined = points.join(model.withColumnRenamed("device", "_own"), F.col("device").eqNullSafe(F.col("_own")), "left")
+    return joined.withColumn("regime", F.when(d["d"] < float("inf"), d["i"]).cast("int")).withColumn("regimes", F.size("centres")).drop("_own", "centres", "p")
+
+
+def choose(windows: DataFrame, device: str, order: str, point: Column) -> DataFrame:
+    """(device, id, regime, regimes, silhouette) of every window, by the model of its device (`models`, `assigned`)."""
+    every = windows.select(F.col(device).alias("device"), F.col(order).cast("long").alias("id"), point.alias("p"))
+    return assigned(every, models(windows, device, order, point)).select("device", "id", "regime", "regimes", "silhouette")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinemetry.operators import baseline, features, held_out, regimes
+from kinemetry.operators import baseline, features, held_out, machine, regimes
 from kinemetry.plans.spectral import _points
 from kinemetry.sources.folders import folder
 from kinemetry.sources.readings import table
@@ -72,6 +72,28 @@ def features37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("window", "band_low", F.round("band_crest", 5).alias("band_crest"), "fr_hz", "fr_reliable", F.posexplode("vector").alias("i", "value")).withColumn("value", F.round("value", 5))
 
 
+#: Vectors that make a window of 256 samples, machines that take turns, and windows that each learns from.
+SHORT, MACHINES, LEARN = 4, 2, 20
+
+
+def _machine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(device, window, nth, SIGNAL): windows of SHORT vectors in a row, dealt to the machines in turns; nth counts each
+    machine's. An unfinished last window is left out."""
+    e = table(spark, sf_dir, "embeddings").withColumn("window", F.floor(F.col("vec_id") / SHORT))
+    rows = e.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where(F.size("v") == SHORT)
+    none = F.lit(None).cast("array<double>")
+    return rows.select((F.col("window") % MACHINES).alias("device"), "window", F.floor(F.col("window") / MACHINES).alias("nth"), F.flatten("v.embedding").cast("array<double>").alias("audio"),
+                       F.lit(16000.0).alias("fs_audio"), F.lit(6400.0).alias("fs_accel"), F.flatten("v.embedding").cast("array<double>").alias("accel_x"), none.alias("accel_y"), none.alias("accel_z"))
+
+
+def learn_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each machine learns from its first windows; the model is saved, checked and read again, and scores all the others."""
+    windows, at = _machine_windows(spark, sf_dir), f"{folder(spark)}/models"
+    machine.save(machine.fit(windows.where(F.col("nth") < LEARN)), at)
+    found = machine.score(windows.where(F.col("nth") >= LEARN), machine.load(spark, at))
+    return found.select("device", "window", "regime", F.round("score", 4).alias("score"), F.round("threshold", 4).alias("threshold"), "anomalous", F.round("fr_hz", 6).alias("fr_hz"))
+
+
 #: Whole vectors have no short SQL; tests hold these queries against numpy.
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (ledoit_wolf, mahalanobis, held_out_distance, learned_thresholds, features37, chosen_regimes, effective_ranks, saved_model)}
+QUERIES = {f.__name__: f for f in (ledoit_wolf, mahalanobis, held_out_distance, learned_thresholds, features37, chosen_regimes, effective_ranks, saved_model, learn_and_score)}
