@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinemetry.operators.quantiles import quantiles
+
 #: Regimes whose sums one task holds before it hands them on.
 REGIMES = 1024
 ALERT_QUANTILE, CONTAMINATED = 0.995, 1.25
@@ -168,9 +170,10 @@ def thresholds(scored: DataFrame, regime: str = "regime") -> DataFrame:
     def fitted(n: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
         return pa.array([analytic(*row) for row in zip(n.to_pylist(), low.to_pylist(), high.to_pylist(), strict=True)], pa.float64())
 
-    d2 = F.col("score") * F.col("score")
-    base = scored.where("score is not null").groupBy(F.col(f"`{regime}`").alias(regime)).agg(
-        F.count("*").alias("n"), F.percentile("score", F.lit(ALERT_QUANTILE)).alias("empirical"), F.percentile(d2, F.array(*map(F.lit, BODY))).alias("body"))
+    rows = scored.select(F.col(f"`{regime}`").alias(regime), "score", (F.col("score") * F.col("score")).alias("d2")).where("score is not null")
+    body = quantiles(rows, [regime], "d2", list(BODY)).select(F.col(f"`{regime}`").alias("_of"), F.col("q").alias("body"))
+    base = quantiles(rows, [regime], "score", [ALERT_QUANTILE]).withColumn("empirical", F.col("q")[0]).drop("q")
+    base = base.join(body, F.col(f"`{regime}`").eqNullSafe(F.col("_of"))).drop("_of")
     both = base.withColumn("analytic", F.coalesce(fitted("n", F.col("body")[0], F.col("body")[1]), "empirical"))
     ratio = F.when(F.col("analytic") > 0, F.col("empirical") / F.col("analytic")).otherwise(float("inf"))
     return both.select(regime, "n", F.least("empirical", "analytic").alias("threshold"), "empirical", "analytic", ratio.alias("ratio"), (ratio > CONTAMINATED).alias("contaminated"))

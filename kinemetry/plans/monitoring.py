@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from kinemetry.functions.arrays import display_index, tier
 from kinemetry.operators.gate import episodes, excursions, marked
+from kinemetry.operators.quantiles import quantiles
 from kinemetry.sources.readings import readings, table
 
 KEYS, ORDER, NEED, CLEAR = ["device_id"], ["t", "event_id"], 2, 2
 WEEK = 7 * 86400.0
-#: Persistence candidates of the sweep, in windows.
+#: Persistence candidates of the sweep, in minutes.
 CANDIDATES = [1, 2, 5, 10, 15, 20, 30, 45, 60, 90, 120]
 
 
@@ -20,7 +21,8 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str, need: int = NEED, clear: int = CLEAR) -> DataFrame:
-    return marked(_readings(spark, sf_dir), KEYS, ORDER, "anomalous", F.lit(need), F.lit(clear))
+    """The readings with their gate, week by week, so that a device of any length is spread over tasks."""
+    return marked(_readings(spark, sf_dir), KEYS, ORDER, "anomalous", F.lit(need), F.lit(clear), F.floor(F.col("t") / WEEK))
 
 
 def alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +79,10 @@ def crest_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headroom_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score over threshold: quantiles and exceedance, per regime and over all (regime null)."""
     r = _readings(spark, sf_dir).where("threshold > 0").withColumn("r", F.col("score") / F.col("threshold"))
-    p = [F.round(F.percentile("r", F.lit(q)), 6).alias(a) for q, a in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return r.rollup("regime").agg(*p, F.round(F.max("r"), 6).alias("top"), F.round(F.avg((F.col("r") > 1).cast("int")), 6).alias("exceed"), F.count("*").alias("windows"))
+    qs = [0.5, 0.95, 0.99]
+    p = quantiles(r, ["regime"], "r", qs).unionByName(quantiles(r, [], "r", qs).withColumn("regime", F.lit(None).cast("string"))).withColumnRenamed("regime", "of").select("of", "q")
+    whole = r.rollup("regime").agg(F.round(F.max("r"), 6).alias("top"), F.round(F.avg((F.col("r") > 1).cast("int")), 6).alias("exceed"), F.count("*").alias("windows"))
+    return whole.join(p, F.col("regime").eqNullSafe(F.col("of"))).select("regime", *[F.round(F.col("q")[i], 6).alias(a) for i, a in enumerate(("p50", "p95", "p99"))], "top", "exceed", "windows")
 
 
 def occupancy_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,17 +114,45 @@ def geometric_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(span, "device_id").select("device_id", F.col("n").alias("n_runs"), F.round(per, 6).alias("runs_per_week"), F.round("m", 6).alias("mean_run"), "longest", need.cast("long").alias("need"))
 
 
+def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(device_id, longest): the longest flagged run of each stretch between clearings. A gate alerts once in each stretch
+    whose longest run is as long as it needs, so every persistence candidate can be told from these."""
+    g = _gated(spark, sf_dir)
+    cleared = F.count(F.when(F.col("marker") == "C", 1))
+    weeks = Window.partitionBy(*KEYS).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = g.groupBy(*KEYS, "_chunk").agg(cleared.alias("n")).select(*KEYS, "_chunk", F.coalesce(F.sum("n").over(weeks), F.lit(0)).alias("before"))
+    so_far = Window.partitionBy(*KEYS, "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = g.withColumn("stretch", cleared.over(so_far)).join(before, [*KEYS, "_chunk"]).withColumn("stretch", F.col("stretch") + F.col("before"))
+    return placed.where("anomalous").groupBy(*KEYS, "stretch").agg(F.max("streak").alias("longest"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(device_id, w): the usual gap between a device's windows in seconds."""
+    gap = F.lead("t").over(Window.partitionBy("device_id").orderBy(*ORDER)) - F.col("t")
+    return quantiles(_readings(spark, sf_dir).withColumn("gap", gap).where("gap > 0"), ["device_id"], "gap", [0.5]).select("device_id", F.col("q")[0].alias("w"))
+
+
 def persist_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of the whole fleet for every persistence candidate: one gate with `need` a column."""
-    every = _readings(spark, sf_dir).withColumn("need", F.explode(F.array(*map(F.lit, CANDIDATES))))
-    gated = marked(every, ["need", "device_id"], ORDER, "anomalous", F.col("need"), F.lit(CLEAR))
-    return gated.groupBy("need").agg(F.sum(F.col("alert").cast("long")).alias("alerts"))
+    """Alerts of the whole fleet for every persistence candidate, in minutes: at least one of a device's windows."""
+    return _sweep(_stretches(spark, sf_dir), _windows(spark, sf_dir), CANDIDATES, 60.0)
+
+
+def persist_sweep_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for as many hours, which here are several windows."""
+    return _sweep(_stretches(spark, sf_dir), _windows(spark, sf_dir), CANDIDATES, 3600.0)
+
+
+def _sweep(stretches: DataFrame, windows: DataFrame, candidates: list[int], unit_s: float) -> DataFrame:
+    each = stretches.groupBy("device_id", "longest").agg(F.count("*").alias("n")).join(windows, "device_id", "left")
+    each = each.withColumn("need", F.explode(F.array(*map(F.lit, candidates))))
+    need = F.greatest(F.lit(1), F.coalesce(F.bround(F.col("need") * unit_s / F.col("w")), F.lit(1)))
+    return each.groupBy("need").agg(F.coalesce(F.sum(F.when(F.col("longest") >= need, F.col("n"))), F.lit(0)).alias("alerts"))
 
 
 def persist_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest candidate with at most one alert a device, else the largest."""
-    devices = _readings(spark, sf_dir).agg(F.count_distinct("device_id").alias("devices"))
-    best = persist_sweep(spark, sf_dir).join(F.broadcast(devices)).where("alerts <= devices").agg(F.min("need").alias("need"))
+    """The smallest candidate with at most one alert a node and week, else the largest."""
+    span = _readings(spark, sf_dir).groupBy("device_id").agg(((F.max("t") - F.min("t")) / WEEK).alias("weeks")).agg(F.sum("weeks").alias("weeks"))
+    best = persist_sweep_long(spark, sf_dir).join(F.broadcast(span)).where("alerts <= weeks").agg(F.min("need").alias("need"))
     return best.select(F.coalesce("need", F.lit(max(CANDIDATES))).alias("need"))
 
 
@@ -162,7 +194,12 @@ EPISODES = """ SELECT device_id, idx - {need} + 1 AS start_idx, idx AS alert_idx
 _GAP = ", p AS (SELECT *, lead(t) OVER (PARTITION BY device_id ORDER BY t, event_id) - t AS gap FROM r)"
 _RUNS = ", runs AS (SELECT device_id, run, count(*) AS length FROM g WHERE anomalous GROUP BY 1, 2)"
 _SPAN = ", span AS (SELECT device_id, max(t) - min(t) AS s FROM r GROUP BY 1)"
-_SWEEP = BASE + ", x AS (SELECT r.*, c.need FROM r, (SELECT unnest(" + str(CANDIDATES) + ") AS need) c)" + _gate("need", "2", "x", "need, device_id") + ", sweep AS (SELECT need, sum(CASE WHEN alert THEN 1 ELSE 0 END)::BIGINT AS alerts FROM g GROUP BY 1)"
+def _sweep_sql(unit_s: float) -> str:
+    """One gate for every candidate, each device's windows counted by its own gap."""
+    return BASE + _GAP + ", w AS (SELECT device_id, quantile_cont(gap, 0.5) AS w FROM p WHERE gap > 0 GROUP BY 1), x AS (SELECT r.*, c.need, greatest(1, coalesce(round_even(c.need * " + str(unit_s) + """ / w.w, 0), 1)) AS k
+  FROM r LEFT JOIN w USING (device_id), (SELECT unnest(""" + str(CANDIDATES) + ") AS need) c)" + _gate("k", "2", "x", "need, device_id") + ", sweep AS (SELECT need, sum(CASE WHEN alert THEN 1 ELSE 0 END)::BIGINT AS alerts FROM g GROUP BY 1)"
+
+
 SQL = {
     "alert_episodes": BASE + _gate() + EPISODES.format(need=2),
     "gate_clear1": BASE + _gate("2", "1") + EPISODES.format(need=2),
@@ -184,8 +221,9 @@ SELECT device_id, coalesce(n, 0) AS alerts, round(coalesce(n, 0) / (s / 604800.0
     "geometric_tail": BASE + _gate() + _SPAN + _RUNS + """, o AS (SELECT device_id, count(*) AS n, avg(length) AS m, max(length) AS longest FROM runs GROUP BY 1)
 SELECT device_id, n AS n_runs, round(n / (s / 604800.0), 6) AS runs_per_week, round(m, 6) AS mean_run, longest,
   CASE WHEN n / (s / 604800.0) <= 1 THEN 1 ELSE greatest(1, ceil(1 + ln(1 / (n / (s / 604800.0))) / ln(least(greatest(1 - 1 / m, 1e-6), 1 - 1e-9))))::BIGINT END AS need FROM o JOIN span USING (device_id) WHERE s > 0""",
-    "persist_sweep": _SWEEP + " SELECT need, alerts FROM sweep",
-    "persist_recommend": _SWEEP + " SELECT coalesce(min(need), 120) AS need FROM sweep WHERE alerts <= (SELECT count(DISTINCT device_id) FROM r)",
+    "persist_sweep": _sweep_sql(60.0) + " SELECT need, alerts FROM sweep",
+    "persist_sweep_long": _sweep_sql(3600.0) + " SELECT need, alerts FROM sweep",
+    "persist_recommend": _sweep_sql(3600.0) + _SPAN + " SELECT coalesce(min(need), 120) AS need FROM sweep WHERE alerts <= (SELECT sum(s) / 604800.0 FROM span)",
     "display_tier": BASE + """ SELECT event_id, round(CASE WHEN device_id % 4 <> 3 THEN CASE WHEN threshold <= 0 THEN 100.0 WHEN score <= 0 THEN 0.0
   WHEN log10(score / threshold) <= 0 THEN 70.0 * greatest(1 + log10(score / threshold), 0.0) ELSE 70.0 + 30.0 * least(log10(score / threshold) / 3.0, 1.0) END END, 6) AS display_index,
   CASE WHEN anomalous THEN 'red' ELSE 'green' END AS health FROM r""",
@@ -195,4 +233,4 @@ SELECT device_id, n, round(share, 6) AS share, round(median, 6) AS median, share
     "learn_score_split": BASE + " SELECT device_id, CASE WHEN idx <= 8 THEN 'learn' ELSE 'score' END AS part, count(*) AS windows, round(avg(score), 6) AS mean_score FROM r GROUP BY 1, 2",
 }
 QUERIES = {f.__name__: f for f in (alert_episodes, gate_clear1, gate_runs, gate_tiers, window_median_gap, gaps_coverage, regime_thresholds, crest_floor, headroom_by_regime, occupancy_daily,
-                                   false_alarm_rate, geometric_tail, persist_sweep, persist_recommend, display_tier, startup_fingerprint, learn_score_split)}
+                                   false_alarm_rate, geometric_tail, persist_sweep, persist_sweep_long, persist_recommend, display_tier, startup_fingerprint, learn_score_split)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinemetry.functions.arrays import display_index
-from kinemetry.plans.monitoring import BASE, EPISODES, _gate, _readings, alert_episodes
+from kinemetry.plans.monitoring import BASE, EPISODES, NEED, _gate, _gated, _readings
 from kinemetry.sources.readings import finite, routed, table
 
 PAGE, QUEUE, WEEK = 500, 500, 7 * 86400
@@ -66,10 +66,11 @@ def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings inside an alert's span, each once: what a "this was normal" answer would learn."""
-    spans = alert_episodes(spark, sf_dir).select("device_id", "start_idx", "alert_idx")
-    r = _readings(spark, sf_dir)
-    return (r.join(spans, "device_id").where(F.col("idx").between(F.col("start_idx"), F.col("alert_idx")))
-            .select("device_id", "event_id", F.round("score", 6).alias("score")).distinct())
+    g = _gated(spark, sf_dir)
+    # an alert's span is the beginning of its run: at most NEED rows of a run meet its one alert
+    begin = g.where(F.col("anomalous") & (F.col("streak") <= NEED)).select("device_id", "run", "event_id", "score")
+    fired = g.where("alert").select("device_id", "run")
+    return begin.join(fired, ["device_id", "run"], "left_semi").select("device_id", "event_id", F.round("score", 6).alias("score")).distinct()
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinemetry.operators.quantiles import quantiles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,12 +21,12 @@ def readings(events: DataFrame, quantile: float = 0.75) -> DataFrame:
     """device_id, event_id, ts, t (epoch seconds), regime, score, threshold, anomalous, idx.
 
     The threshold is the regime's quantile of all scores, rounded to six digits; the regimes are few,
-    so the thresholds are joined as a small side that Spark may broadcast. idx counts a device's
+    so the thresholds are joined as a small side that Spark may broadcast; a regime without any score has none. idx counts a device's
     windows in time order, from 1."""
-    limits = events.groupBy(F.col("event_type").alias("regime")).agg(F.round(F.percentile("value", F.lit(quantile)), 6).alias("threshold"))
+    limits = quantiles(events, ["event_type"], "value", [quantile]).select(F.col("event_type").alias("regime"), F.round(F.col("q")[0], 6).alias("threshold"))
     base = events.select(F.col("user_id").alias("device_id"), "event_id", "ts", epoch(F.col("ts")).alias("t"), F.col("event_type").alias("regime"), F.col("value").alias("score"), "props")
     order = Window.partitionBy("device_id").orderBy("t", "event_id")
-    return (base.join(limits, "regime").withColumn("anomalous", F.col("score") > F.col("threshold"))
+    return (base.where("regime is not null").join(limits, "regime", "left").withColumn("anomalous", F.col("score") > F.col("threshold"))
             .withColumn("idx", F.row_number().over(order)))
 
 
