@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinemetry.operators.quantiles import quantiles
+from kinemetry.sources import folders
 
 #: Regimes whose sums one task holds before it hands them on.
 REGIMES = 1024
@@ -170,7 +171,7 @@ def thresholds(scored: DataFrame, regime: str = "regime") -> DataFrame:
     def fitted(n: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
         return pa.array([analytic(*row) for row in zip(n.to_pylist(), low.to_pylist(), high.to_pylist(), strict=True)], pa.float64())
 
-    rows = scored.select(F.col(f"`{regime}`").alias(regime), "score", (F.col("score") * F.col("score")).alias("d2")).where("score is not null")
+    rows = folders.kept(scored.select(F.col(f"`{regime}`").alias(regime), "score", (F.col("score") * F.col("score")).alias("d2")).where("score is not null"))
     body = quantiles(rows, [regime], "d2", list(BODY)).select(F.col(f"`{regime}`").alias("_of"), F.col("q").alias("body"))
     base = quantiles(rows, [regime], "score", [ALERT_QUANTILE]).withColumn("empirical", F.col("q")[0]).drop("q")
     base = base.join(body, F.col(f"`{regime}`").eqNullSafe(F.col("_of"))).drop("_of")

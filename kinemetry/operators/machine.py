@@ -63,24 +63,18 @@ def fit(windows: DataFrame) -> DataFrame:
     columns are those of the model table: names, crest_floor, mean, std, op_mean, op_scale, silhouette of the device;
     regime, centre, n, own_mean, precision, threshold, empirical, analytic, ratio, contaminated of the regime; and of all
     the device's windows the median and 95th percentile of distance over threshold."""
-    spark, at = windows.sparkSession, folders.folder(windows.sparkSession)
-
-    def kept(df: DataFrame, name: str) -> DataFrame:  # each is read more than once
-        df.write.parquet(f"{at}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
-
-    floor = kept(floors(windows), "floors")
+    floor = folders.kept(floors(windows))
     made = features.with_features(windows.join(floor, "device"), floor="crest_floor").where("vector is not null")
-    learn = kept(made.select("device", "window", "vector", "fr_hz"), "learn")
-    scale = kept(_scales(learn), "scales")
+    learn = folders.kept(made.select("device", "window", "vector", "fr_hz"))
+    scale = folders.kept(_scales(learn))
     placed = _placed(learn.join(scale, "device")).select("device", "window", "z", "p")
-    shown = kept(regimes.models(placed, "device", "window", F.col("p")), "regimes")
+    shown = folders.kept(regimes.models(placed, "device", "window", F.col("p")))
     near = regimes.assigned(placed.select("device", F.col("window").alias("id"), "p", "z"), shown)
-    rows = kept(near.where("regime is not null").select("device", "regime", F.col("id").alias("window"), "z", F.to_json(F.struct("device", "regime")).alias("model")), "rows")
-    models = kept(baseline.learn(rows, "model", "z"), "models")
-    fair = kept(held_out.fair_distances(rows, F.col("window"), models, "model", "z"), "fair")
+    rows = folders.kept(near.where("regime is not null").select("device", "regime", F.col("id").alias("window"), "z", F.to_json(F.struct("device", "regime")).alias("model")))
+    models = folders.kept(baseline.learn(rows, "model", "z"))
+    fair = folders.kept(held_out.fair_distances(rows, F.col("window"), models, "model", "z"))
     t = baseline.thresholds(fair, "model")
-    t = kept(t.select("model", *[held_out.raised(F.col(c), F.col("n")).alias(c) for c in ("threshold", "empirical", "analytic")], "ratio", "contaminated"), "thresholds")
+    t = folders.kept(t.select("model", *[held_out.raised(F.col(c), F.col("n")).alias(c) for c in ("threshold", "empirical", "analytic")], "ratio", "contaminated"))
     of_model = rows.select("model", "device", "regime").distinct()
     over = fair.join(t.select("model", "threshold"), "model").join(of_model, "model").groupBy("device").agg(
         F.percentile(F.col("score") / F.greatest("threshold", F.lit(1e-9)), F.array(F.lit(0.5), F.lit(0.95))).alias("r"))

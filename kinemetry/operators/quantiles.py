@@ -17,11 +17,6 @@ from kinemetry.sources import folders
 FEW, BINS = 50_000, 1024
 
 
-def _kept(df: DataFrame, at: str, name: str) -> DataFrame:
-    df.write.parquet(f"{at}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
-
-
 def _same(keys: list[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
 
@@ -56,14 +51,13 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], few:
     """One row per group of `keys` (none: one row): n, and q, the exact `qs` quantiles (0 to 1) of its values, interpolated
     between neighbours as `percentile` does. Null and NaN values don't count; a group without others has no row. An
     infinite value counts, at either end. Null keys are a group."""
-    few, spark = few or FEW, df.sparkSession
-    at = folders.folder(spark)
+    few = few or FEW
     v = F.col(f"`{value}`").cast("double")
     rows = df.select(*[F.col(f"`{k}`").alias(k) for k in keys], (v + F.lit(0.0)).alias("v")).where(v.isNotNull() & ~F.isnan(v))
     # groups of more than `few`: fewer than all rows divided by that
     large = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where(F.col("n") > few)
     some = not large.isEmpty()
-    large = _kept(large, at, "large") if some else large
+    large = folders.kept(large) if some else large
     small = rows if not some else rows.alias("a").join(large.alias("b"), _same(keys, "a", "b"), "left_anti")
     out = small.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).where("n > 0")
     if not some:
@@ -72,7 +66,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], few:
     open_ = large.select(*keys, F.explode(wanted).alias("rank"), "low", "high", F.lit(0).cast("long").alias("below"), "n")
     found, turn = [], 0
     while True:
-        open_ = _kept(open_, at, f"open-{turn}")
+        open_ = folders.kept(open_)
         one = open_.where("low = high")
         found.append(one.select(*keys, "rank", F.col("low").alias("x")))
         rest = open_.where("low < high and n <= " + str(few))

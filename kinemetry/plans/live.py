@@ -8,15 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinemetry.plans.monitoring import BASE, CLEAR, NEED, _gate
+from kinemetry.plans.monitoring import BASE, CLEAR, LEARNED, NEED, STARTED, STARTUP, _gate, mismatch
 from kinemetry.operators.gate import marked
 from kinemetry.sources.folders import folder
 from kinemetry.sources.readings import readings, table
 from kinemetry.streaming import commands, gate, outbox, store
 
 TIERED = "event_id long, tier string, ts_from double, ts_to double, persisted_minutes double"
-#: Seconds of a window, and windows of a start by which another machine is told.
-WINDOW_S, STARTUP = 30.0, 8
+#: Fixed value: seconds of a window.
+WINDOW_S = 30.0
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,20 +124,20 @@ def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_startup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each device once its first eight windows are in: the share above the threshold, and their median ratio."""
+    """One row for each device once the windows of its start are in: the share above the threshold, their median ratio, and
+    the 95th percentile of the learn windows before them."""
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, done = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
-        new = sorted(r for b in batches for r in zip(b["t"], b["event_id"], b["score"] / b["threshold"], strict=True))
+        seen = list(state.get[0]) if state.exists else []
         had = len(seen)
-        seen = (seen + [float(r[2]) for r in new])[:STARTUP]
-        ready = not done and len(seen) == STARTUP
-        state.update((seen, bool(done or ready)))
-        if ready and had <= STARTUP:
-            s = pd.Series(seen)
-            yield pd.DataFrame({"device_id": [key[0]], "above": [float((s > 1).mean())], "median": [float(s.median())]})
+        new = sorted(r for b in batches for r in zip(b["t"], b["event_id"], b["score"] / b["threshold"], strict=True))
+        seen = (seen + [float(r[2]) for r in new])[: LEARNED + STARTUP]
+        state.update((seen,))
+        if had < len(seen) == LEARNED + STARTUP:
+            learned, s = pd.Series(seen[:LEARNED]), pd.Series(seen[LEARNED:])
+            yield pd.DataFrame({"device_id": [key[0]], "share": [float((s > 1).mean())], "median": [float(s.median())], "p95": [float(learned.quantile(0.95))]})
 
-    rows = run(_scored(spark, sf_dir).where("threshold > 0").groupBy("device_id").applyInPandasWithState(feed, "device_id long, above double, median double", "seen array<double>, done boolean", "append", "NoTimeout"))
-    return rows.select("device_id", F.round("above", 6).alias("above"), F.round("median", 6).alias("median"), ((F.col("above") >= 0.75) & (F.col("median") >= 5)).alias("mismatch"))
+    rows = run(_scored(spark, sf_dir).where("threshold > 0").groupBy("device_id").applyInPandasWithState(feed, "device_id long, share double, median double, p95 double", "seen array<double>", "append", "NoTimeout"))
+    return rows.select("device_id", *[F.round(c, 6).alias(c) for c in ("share", "median", "p95")], mismatch(F.col("share"), F.col("median"), F.col("p95")).alias("mismatch"))
 
 
 SQL = {
@@ -158,7 +158,6 @@ UNION ALL SELECT device_id, event_id, 'telemetry', round(t, 6), 0 FROM o WHERE u
     "stream_retention": """SELECT user_id AS device_id, count(*) AS stored, count(CASE WHEN epoch_us(ts) / 1e6 <= (SELECT max(epoch_us(ts)) // 1000 - 7200000 FROM events) / 1000.0 - 604800 THEN 1 END) AS pruned FROM events GROUP BY 1""",
     "stream_store": BASE + """, n AS (SELECT least(max(t), min(t) + 29 * 86400 + 3600) AS now FROM r), u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY device_id, t ORDER BY event_id DESC) = 1)
 SELECT regime, (SELECT count(*) FROM u, n WHERE u.regime = x.regime AND t >= now - 604800) AS kept, count(CASE WHEN anomalous THEN 1 END) AS anomalies FROM r x GROUP BY 1""",
-    "stream_startup": BASE + """, s AS (SELECT device_id, score / threshold AS q, row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS i FROM r WHERE threshold > 0)
-SELECT device_id, round(avg(CASE WHEN q > 1 THEN 1 ELSE 0 END), 6) AS above, round(quantile_cont(q, 0.5), 6) AS median, avg(CASE WHEN q > 1 THEN 1 ELSE 0 END) >= 0.75 AND quantile_cont(q, 0.5) >= 5 AS mismatch FROM s WHERE i <= 8 GROUP BY 1 HAVING count(*) = 8""",
+    "stream_startup": BASE + STARTED,
 }
 QUERIES = {f.__name__: f for f in (stream_tiers, stream_hourly, stream_ingest, stream_state, stream_startup, stream_feedback, stream_outbox, stream_retention, stream_store)}

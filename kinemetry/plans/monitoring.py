@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinemetry.functions.arrays import display_index, tier
@@ -12,6 +12,8 @@ from kinemetry.sources.readings import readings, table
 
 KEYS, ORDER, NEED, CLEAR = ["device_id"], ["t", "event_id"], 2, 2
 WEEK = 7 * 86400.0
+#: Windows that a device's ratios are learned from, and, a fixed value, those of a start by which another machine is told.
+LEARNED, STARTUP = 16, 8
 #: Persistence candidates of the sweep, in minutes.
 CANDIDATES = [1, 2, 5, 10, 15, 20, 30, 45, 60, 90, 120]
 
@@ -163,12 +165,18 @@ def display_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def startup_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A device's first eight windows against its learned ratios: mostly above, and far above."""
+    """The windows of a start against the ratios of the learn windows before it: mostly above, and far above."""
     r = _readings(spark, sf_dir).where("threshold > 0").withColumn("r", F.col("score") / F.col("threshold"))
-    later = r.where("idx > 8").groupBy("device_id").agg(F.percentile("r", F.lit(0.95)).alias("p95"))
-    first = r.where("idx <= 8").groupBy("device_id").agg(F.avg((F.col("r") > 1).cast("int")).alias("share"), F.percentile("r", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
-    return first.join(later, "device_id").select("device_id", "n", F.round("share", 6).alias("share"), F.round("median", 6).alias("median"),
-                                                 ((F.col("share") >= 0.75) & (F.col("median") >= 5 * F.greatest("p95", F.lit(1.0)))).alias("mismatch"))
+    r = r.withColumn("n", F.row_number().over(Window.partitionBy("device_id").orderBy(*ORDER))).where(F.col("n") <= LEARNED + STARTUP)
+    share = F.avg(F.when(F.col("n") > LEARNED, (F.col("r") > 1).cast("int")))
+    # LEARNED and STARTUP values of a device
+    of = r.groupBy("device_id").agg(F.count("*").alias("n"), share.alias("share"), F.percentile(F.when(F.col("n") > LEARNED, F.col("r")), F.lit(0.5)).alias("median"), F.percentile(F.when(F.col("n") <= LEARNED, F.col("r")), F.lit(0.95)).alias("p95"))
+    return of.where(F.col("n") == LEARNED + STARTUP).select("device_id", F.round("share", 6).alias("share"), F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), mismatch(F.col("share"), F.col("median"), F.col("p95")).alias("mismatch"))
+
+
+def mismatch(share: Column, median: Column, p95: Column) -> Column:
+    """Whether a start's ratios are none of the machine that was learned."""
+    return (share >= 0.75) & (median >= 5 * F.greatest(p95, F.lit(1.0)))
 
 
 def learn_score_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +201,10 @@ EPISODES = """ SELECT device_id, idx - {need} + 1 AS start_idx, idx AS alert_idx
   OVER (PARTITION BY device_id ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS clear_idx FROM g) WHERE alert"""
 _GAP = ", p AS (SELECT *, lead(t) OVER (PARTITION BY device_id ORDER BY t, event_id) - t AS gap FROM r)"
 _RUNS = ", runs AS (SELECT device_id, run, count(*) AS length FROM g WHERE anomalous GROUP BY 1, 2)"
+STARTED = f""", q AS (SELECT device_id, score / threshold AS x, row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS n FROM r WHERE threshold > 0),
+f AS (SELECT device_id, avg(CASE WHEN x > 1 THEN 1 ELSE 0 END) FILTER (WHERE n > {LEARNED}) AS share, quantile_cont(x, 0.5) FILTER (WHERE n > {LEARNED}) AS median, quantile_cont(x, 0.95) FILTER (WHERE n <= {LEARNED}) AS p95
+  FROM q WHERE n <= {LEARNED + STARTUP} GROUP BY 1 HAVING count(*) = {LEARNED + STARTUP})
+SELECT device_id, round(share, 6) AS share, round(median, 6) AS median, round(p95, 6) AS p95, share >= 0.75 AND median >= 5 * greatest(p95, 1.0) AS mismatch FROM f"""
 _SPAN = ", span AS (SELECT device_id, max(t) - min(t) AS s FROM r GROUP BY 1)"
 def _sweep_sql(unit_s: float) -> str:
     """One gate for every candidate, each device's windows counted by its own gap."""
@@ -227,9 +239,7 @@ SELECT device_id, n AS n_runs, round(n / (s / 604800.0), 6) AS runs_per_week, ro
     "display_tier": BASE + """ SELECT event_id, round(CASE WHEN device_id % 4 <> 3 THEN CASE WHEN threshold <= 0 THEN 100.0 WHEN score <= 0 THEN 0.0
   WHEN log10(score / threshold) <= 0 THEN 70.0 * greatest(1 + log10(score / threshold), 0.0) ELSE 70.0 + 30.0 * least(log10(score / threshold) / 3.0, 1.0) END END, 6) AS display_index,
   CASE WHEN anomalous THEN 'red' ELSE 'green' END AS health FROM r""",
-    "startup_fingerprint": BASE + """, q AS (SELECT *, score / threshold AS x FROM r WHERE threshold > 0), l AS (SELECT device_id, quantile_cont(x, 0.95) AS p95 FROM q WHERE idx > 8 GROUP BY 1),
-f AS (SELECT device_id, avg(CASE WHEN x > 1 THEN 1 ELSE 0 END) AS share, quantile_cont(x, 0.5) AS median, count(*) AS n FROM q WHERE idx <= 8 GROUP BY 1)
-SELECT device_id, n, round(share, 6) AS share, round(median, 6) AS median, share >= 0.75 AND median >= 5 * greatest(p95, 1.0) AS mismatch FROM f JOIN l USING (device_id)""",
+    "startup_fingerprint": BASE + STARTED,
     "learn_score_split": BASE + " SELECT device_id, CASE WHEN idx <= 8 THEN 'learn' ELSE 'score' END AS part, count(*) AS windows, round(avg(score), 6) AS mean_score FROM r GROUP BY 1, 2",
 }
 QUERIES = {f.__name__: f for f in (alert_episodes, gate_clear1, gate_runs, gate_tiers, window_median_gap, gaps_coverage, regime_thresholds, crest_floor, headroom_by_regime, occupancy_daily,
