@@ -64,9 +64,12 @@ class Envelopes:
         self.n = _padded(len(x), fs, min(narrowest, LOW_PASS))
         self.spectrum = np.fft.rfft(x, self.n)
 
+    def passed(self, low: float, high: float) -> np.ndarray:
+        """The signal that passes the band."""
+        return np.fft.irfft(self.spectrum * _band(self.n, self.fs, low, high), self.n)[: self.size]
+
     def envelope(self, low: float, high: float) -> np.ndarray:
-        passed = np.fft.irfft(self.spectrum * _band(self.n, self.fs, low, high), self.n)[: self.size]
-        smooth = _every(np.fft.rfft(np.abs(passed), self.n) * _low(self.n, self.fs), self.n)
+        smooth = _every(np.fft.rfft(np.abs(self.passed(low, high)), self.n) * _low(self.n, self.fs), self.n)
         return smooth[: -(-self.size // DECIMATE)]
 
     def rhythm(self, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinemetry.plans import evaluation, ingest, learning, live, monitoring, rates, serving, soak, spectral
+from kinemetry.plans import evaluation, ingest, learning, live, monitoring, rates, screening, serving, soak, spectral
 
-_MODULES = (monitoring, serving, spectral, evaluation, learning, soak, ingest, live, rates)
+_MODULES = (monitoring, serving, spectral, evaluation, learning, soak, ingest, live, rates, screening)
 
 
 def queries() -> dict:

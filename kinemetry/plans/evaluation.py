@@ -38,11 +38,6 @@ def slope_per_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readings(spark, sf_dir).groupBy("device_id").agg(F.round(F.regr_slope(F.col("score"), t), 5).alias("slope"))
 
 
-def corr_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
-    return e.groupBy("label").agg(F.round(F.corr("x0", "x1"), 6).alias("r01"), F.round(F.corr("x0", "x2"), 6).alias("r02"), F.round(F.regr_r2("x0", "x1"), 6).alias("r2"))
-
-
 def quarter_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean score of a device's first and last quarter, and whether it rose."""
     n = F.count("*").over(Window.partitionBy("device_id"))
@@ -99,11 +94,10 @@ SELECT source, round((s - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS auc, n::BIGI
     "fpr_tpr": BASE + """ SELECT device_id, round(sum(CASE WHEN regime = 'error' AND score > 50 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN regime = 'error' THEN 1 ELSE 0 END), 0), 6) AS tpr,
   round(sum(CASE WHEN regime <> 'error' AND score > 50 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN regime <> 'error' THEN 1 ELSE 0 END), 0), 6) AS fpr FROM r GROUP BY 1""",
     "slope_per_week": BASE + " SELECT device_id, round(regr_slope(score, (t - 1704067200) / 604800), 5) AS slope FROM r GROUP BY 1",
-    "corr_axes": "WITH e AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) SELECT label, round(corr(a, b), 6) AS r01, round(corr(a, c), 6) AS r02, round(regr_r2(a, b), 6) AS r2 FROM e GROUP BY 1",
     "quarter_trend": BASE + """, q AS (SELECT *, count(*) OVER (PARTITION BY device_id) AS n FROM r) SELECT device_id, round(avg(CASE WHEN idx * 4 <= n THEN score END), 6) AS early, round(avg(CASE WHEN idx * 4 > 3 * n THEN score END), 6) AS late,
   avg(CASE WHEN idx * 4 > 3 * n THEN score END) > avg(CASE WHEN idx * 4 <= n THEN score END) AS rose FROM q GROUP BY 1""",
     "curve_invert": BASE + ", q AS (" + " UNION ALL ".join(f"SELECT regime, {i} AS i, quantile_cont(score, {i / 10}) AS y FROM r GROUP BY 1" for i in range(11)) + """), z AS (SELECT *, lead(y) OVER (PARTITION BY regime ORDER BY i) AS z FROM q)
 SELECT regime, round((i + (60 - y) / (z - y)) / 10, 6) AS level FROM z WHERE y <= 60 AND z > 60""",
     "growth_per_day": BASE + ", d AS (SELECT floor(t / 86400)::BIGINT AS day, count(*) AS rows FROM r GROUP BY 1) SELECT day, rows, (sum(rows) OVER (ORDER BY day))::BIGINT AS total, rows - lag(rows) OVER (ORDER BY day) AS change FROM d",
 }
-QUERIES = {f.__name__: f for f in (roc_auc, fpr_tpr, slope_per_week, corr_axes, quarter_trend, curve_invert, bootstrap_ci, growth_per_day)}
+QUERIES = {f.__name__: f for f in (roc_auc, fpr_tpr, slope_per_week, quarter_trend, curve_invert, bootstrap_ci, growth_per_day)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinemetry.functions import arrays as A
@@ -32,8 +32,11 @@ def audio_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accel_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three axes of 21 samples each; gravity, dead axes and clock jitter."""
-    axes = [F.slice("x", 1 + 21 * i, 21) for i in range(3)]
+    """Three axes that take turns at the samples; gravity, dead axes and clock jitter."""
+    def axis(a: int) -> Column:
+        return F.filter("x", lambda v, i: i % 3 == a)
+
+    axes = [axis(a) for a in range(3)]
     means = F.array(*[A.bound(a, A.mean) for a in axes])
     spread = F.array(*[A.bound(a, lambda x: F.array_max(x) - F.array_min(x)) for a in axes])
     found = audit.acceleration(means, spread, F.when(F.col("label") % 2 == 0, F.col("label") / 20.0))
@@ -71,10 +74,10 @@ def signal_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agc_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the level falls with distance: median of the first third of hops less that of the last, of 12.04 dB expected."""
-    v = _signals(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v")).where("i < 60")
-    hops = v.groupBy("vec_id", F.floor(F.col("i") / 10).alias("hop")).agg((20 * F.log10(F.greatest(F.stddev_pop("v"), F.lit(1e-12)))).alias("db"))
+    v = _signals(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v"))
+    hops = v.groupBy("vec_id", F.floor(F.col("i") / 8).alias("hop")).agg((20 * F.log10(F.greatest(F.stddev_pop("v"), F.lit(1e-12)))).alias("db"))
     third = lambda c: F.percentile(F.when(c, F.col("db")), F.lit(0.5))
-    d = hops.groupBy("vec_id").agg((third(F.col("hop") < 2) - third(F.col("hop") >= 4)).alias("drop"))
+    d = hops.groupBy("vec_id").agg((third(F.col("hop") < 2) - third(F.col("hop") >= 6)).alias("drop"))
     return d.select("vec_id", F.round("drop", 5).alias("drop_db"), F.when(F.col("drop") >= 8, "none").when(F.col("drop") >= 4, "some").otherwise("agc").alias("agc"))
 
 
@@ -156,29 +159,24 @@ def comb_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two recordings (labels 0 and 1) bin by bin: faulty over healthy, where it is more than 3 dB louder."""
-    s = _mean_spectra(spark, sf_dir)
-    both = s.where("label = 0").select("k", F.col("mag").alias("healthy")).join(s.where("label = 1").select("k", F.col("mag").alias("faulty")), "k")
+    """Each recording (label) of an odd number against the one before it, bin by bin: where it is more than 3 dB louder."""
+    s = _mean_spectra(spark, sf_dir).withColumn("pair", F.floor(F.col("label") / 2))
+    side = lambda odd, name: s.where(F.col("label") % 2 == odd).select("pair", "k", F.col("mag").alias(name))
+    both = side(0, "healthy").join(side(1, "faulty"), ["pair", "k"])
     db = 20 * F.log10(F.col("faulty") / F.col("healthy"))
-    return both.select("k", F.round(db, 5).alias("db"), F.when(db > 3, "raised").when(db < -3, "lowered").otherwise("inconclusive").alias("verdict"))
-
-
-def relative_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy of each signal in dB over the median of its label's learn signals (ids below 200)."""
-    e = _signals(spark, sf_dir).select("vec_id", "label", F.log10(A.total(F.transform("x", lambda v: v * v)) + 1e-12).alias("e"))
-    learnt = e.where("vec_id < 200").groupBy("label").agg(F.percentile("e", F.lit(0.5)).alias("mid"))
-    return e.join(learnt, "label").select("vec_id", F.round(10 * (F.col("e") - F.col("mid")), 5).alias("db"))
+    return both.select("pair", "k", F.round(db, 5).alias("db"), F.when(db > 3, "raised").when(db < -3, "lowered").otherwise("inconclusive").alias("verdict"))
 
 
 def race_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each bearing at 5 Hz: the loudest line within a bin of its outer, inner and ball frequencies over the median of the mean spectrum."""
-    s = _mean_spectra(spark, sf_dir).where("label = 0")
-    mid = s.agg(F.percentile("mag", F.lit(0.5)).alias("mid"))
+    """For each label and bearing at 5 Hz: the loudest line within a bin of its outer, inner and ball frequencies over the median of the mean spectrum."""
+    s = _mean_spectra(spark, sf_dir)
+    mid = s.groupBy("label").agg(F.percentile("mag", F.lit(0.5)).alias("mid"))  # 32 lines
     f = A.fault_frequencies(F.col("n"), F.col("ball"), F.col("pitch"), F.lit(5.0))
     races = F.explode(F.array(*[F.struct(F.lit(k).alias("race"), f[k].alias("f")) for k in ("bpfo", "bpfi", "bsf_2x")]))
     b = spark.createDataFrame(A.BEARINGS, "bearing string, n int, ball double, pitch double").select("bearing", races.alias("r")).select("bearing", "r.race", "r.f")
     near = b.withColumn("k", F.explode(F.expr("sequence(cast(ceil(f - 1) as int), cast(floor(f + 1) as int))")))
-    return near.join(s.select("k", "mag"), "k").groupBy("bearing", "race").agg(F.max("mag").alias("top")).join(F.broadcast(mid)).select("bearing", "race", F.round(F.col("top") / F.col("mid"), 5).alias("ratio"))  # one row
+    top = s.join(F.broadcast(near), "k").groupBy("label", "bearing", "race").agg(F.max("mag").alias("top"))  # a few lines of each bearing of the list
+    return top.join(mid, "label").select("label", "bearing", "race", F.round(F.col("top") / F.col("mid"), 5).alias("ratio"))
 
 
 def blade_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +208,7 @@ SQL = {
     "audio_audit": _LV + """ SELECT vec_id, concat_ws(',', CASE WHEN fs / 2 <= 3000 THEN 'no_band' END, CASE WHEN fs / 2 > 3000 AND fs / 2 < 6000 THEN 'part_band' END, CASE WHEN fs < 16000 THEN 'upsampled' END, CASE WHEN clipped > 0.001 THEN 'clipped' END,
   CASE WHEN clipped > 0 AND clipped <= 0.001 THEN 'few_clipped' END, CASE WHEN peak > 0 AND peak < 0.02 THEN 'quiet' END, CASE WHEN rms = 0 THEN 'silent' END, CASE WHEN abs(dc) > 0.01 * greatest(peak, 1e-9) THEN 'dc' END) AS kinds,
   CASE WHEN fs / 2 <= 3000 OR rms = 0 THEN 'blind' WHEN fs / 2 < 6000 OR clipped > 0.001 OR peak > 0 AND peak < 0.02 THEN 'warn' WHEN fs < 16000 OR clipped > 0 OR abs(dc) > 0.01 * greatest(peak, 1e-9) THEN 'info' ELSE 'none' END AS worst FROM q""",
-    "accel_audit": _S + """, x AS (SELECT vec_id, label, i // 21 AS a, avg(v) AS m, max(v) - min(v) AS s FROM v WHERE i < 63 GROUP BY 1, 2, 3), y AS (SELECT vec_id, label, sqrt(sum(m * m)) AS g, min(s) AS s FROM x GROUP BY 1, 2)
+    "accel_audit": _S + """, x AS (SELECT vec_id, label, i % 3 AS a, avg(v) AS m, max(v) - min(v) AS s FROM v GROUP BY 1, 2, 3), y AS (SELECT vec_id, label, sqrt(sum(m * m)) AS g, min(s) AS s FROM x GROUP BY 1, 2)
 SELECT vec_id, concat_ws(',', CASE WHEN g NOT BETWEEN 0.7 AND 1.4 THEN 'gravity' END, CASE WHEN g BETWEEN 0.7 AND 1.4 THEN 'gravity_ok' END, CASE WHEN label % 2 = 0 AND label / 20.0 > 0.25 THEN 'jitter' END, CASE WHEN s = 0 THEN 'dead_axis' END) AS kinds FROM y""",
     "gain_plan": _LV + """, t AS (SELECT *, max(peak) OVER (PARTITION BY label) AS top FROM q) SELECT vec_id, round(CASE WHEN peak > 0.999 THEN 0.9 / (peak + 1e-12) ELSE 1 END, 6) AS own, round(0.9 / (peak + 1e-12), 6) AS own_normalised,
   round(CASE WHEN top > 0.999 THEN 0.9 / (top + 1e-12) ELSE 1 END, 6) AS common, round(0.9 / (top + 1e-12), 6) AS common_normalised FROM t""",
@@ -220,7 +218,7 @@ h AS (SELECT vec_id, i, (v - avg(v) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * c
 t AS (SELECT vec_id, arg_max(k, (round(mag, 9), -k)) AS k FROM hs WHERE k BETWEEN 1 AND 31 GROUP BY 1), p AS (SELECT t.vec_id, t.k, ln(a.mag + 1e-20) AS a, ln(b.mag + 1e-20) AS b, ln(c.mag + 1e-20) AS c FROM t JOIN hs a ON a.vec_id = t.vec_id AND a.k = t.k - 1 JOIN hs b ON b.vec_id = t.vec_id AND b.k = t.k JOIN hs c ON c.vec_id = t.vec_id AND c.k = t.k + 1)
 SELECT p.vec_id, round(20 * log10(greatest(rms, 1e-12)), 5) AS dbfs, round(20 * log10(greatest(fl, 1e-12)), 5) AS floor_dbfs, round(k + CASE WHEN abs(a - 2 * b + c) > 1e-30 THEN greatest(-0.5, least(0.5, 0.5 * (a - c) / (a - 2 * b + c))) ELSE 0 END, 5) AS peak_hz
 FROM p JOIN fl USING (vec_id) JOIN lv USING (vec_id)""",
-    "agc_distance": _S + """, h AS (SELECT vec_id, i // 10 AS hop, 20 * log10(greatest(stddev_pop(v), 1e-12)) AS db FROM v WHERE i < 60 GROUP BY 1, 2), d AS (SELECT vec_id, quantile_cont(CASE WHEN hop < 2 THEN db END, 0.5) - quantile_cont(CASE WHEN hop >= 4 THEN db END, 0.5) AS d FROM h GROUP BY 1)
+    "agc_distance": _S + """, h AS (SELECT vec_id, i // 8 AS hop, 20 * log10(greatest(stddev_pop(v), 1e-12)) AS db FROM v GROUP BY 1, 2), d AS (SELECT vec_id, quantile_cont(CASE WHEN hop < 2 THEN db END, 0.5) - quantile_cont(CASE WHEN hop >= 6 THEN db END, 0.5) AS d FROM h GROUP BY 1)
 SELECT vec_id, round(d, 5) AS drop_db, CASE WHEN d >= 8 THEN 'none' WHEN d >= 4 THEN 'some' ELSE 'agc' END AS agc FROM d""",
     "mel_bank": "WITH " + _MEL + " SELECT m, k, w FROM bank",
     "short_spectra": _FR + " SELECT vec_id, frame::INTEGER AS frame, k::INTEGER AS k, round(mag, 6) AS mag FROM fr",
@@ -233,17 +231,15 @@ SELECT vec_id, round(sum(f * f), 5) AS energy, round(1 - sum(f * f) / sum(v * v)
     "dominant_comb_bin": _GRID + " SELECT label, f0::INTEGER AS f0, k::INTEGER AS k FROM d",
     "comb_aliases": _GRID + """ SELECT x.label, x.f0::INTEGER AS f0, sum(CASE WHEN x.k = y.k OR abs(x.f0 - y.f0) <= 2 OR abs(x.f0 / y.f0 - round_even(x.f0 / y.f0, 0)) <= 0.02 OR abs(y.f0 / x.f0 - round_even(y.f0 / x.f0, 0)) <= 0.02 THEN 1 ELSE 0 END)::BIGINT AS aliases
 FROM d x JOIN d y ON x.label = y.label AND x.f0 <> y.f0 GROUP BY 1, 2""",
-    "pair_report": _MS + """, b AS (SELECT h.k, 20 * log10(f.mag / h.mag) AS db FROM a h JOIN a f USING (k) WHERE h.label = 0 AND f.label = 1)
-SELECT k::INTEGER AS k, round(db, 5) AS db, CASE WHEN db > 3 THEN 'raised' WHEN db < -3 THEN 'lowered' ELSE 'inconclusive' END AS verdict FROM b""",
-    "relative_severity": _S + """, q AS (SELECT vec_id, label, log10(sum(v * v) + 1e-12) AS e FROM v GROUP BY 1, 2), m AS (SELECT label, quantile_cont(e, 0.5) AS mid FROM q WHERE vec_id < 200 GROUP BY 1)
-SELECT vec_id, round(10 * (e - mid), 5) AS db FROM q JOIN m USING (label)""",
+    "pair_report": _MS + """, b AS (SELECT h.label // 2 AS pair, h.k, 20 * log10(f.mag / h.mag) AS db FROM a h JOIN a f USING (k) WHERE h.label % 2 = 0 AND f.label = h.label + 1)
+SELECT pair::BIGINT AS pair, k::INTEGER AS k, round(db, 5) AS db, CASE WHEN db > 3 THEN 'raised' WHEN db < -3 THEN 'lowered' ELSE 'inconclusive' END AS verdict FROM b""",
     "race_evidence": _MS + ", b AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {d}::DOUBLE, {p}::DOUBLE)" for n, k, d, p in A.BEARINGS) + """) t(bearing, n, ball, pitch)),
 f AS (SELECT bearing, 'bpfo' AS race, n * 2.5 * (1 - ball / pitch) AS f FROM b UNION ALL SELECT bearing, 'bpfi', n * 2.5 * (1 + ball / pitch) FROM b UNION ALL SELECT bearing, 'bsf_2x', pitch / ball * 5 * (1 - ball / pitch * ball / pitch) FROM b)
-SELECT bearing, race, round(max(mag) / (SELECT quantile_cont(mag, 0.5) FROM a WHERE label = 0), 5) AS ratio FROM f JOIN a ON a.label = 0 AND abs(a.k - f.f) <= 1 GROUP BY 1, 2""",
+SELECT label, bearing, race, round(max(mag) / any_value(mid), 5) AS ratio FROM f, a JOIN (SELECT label, quantile_cont(mag, 0.5) AS mid FROM a GROUP BY 1) m USING (label) WHERE abs(a.k - f.f) <= 1 GROUP BY 1, 2, 3""",
     "blade_speeds": _MS + """, t AS (SELECT label, arg_max(k, (round(mag, 9), -k)) AS k FROM a GROUP BY 1)
 SELECT label, b::INTEGER AS blades, round(60.0 * k / b, 6) AS rpm, EXISTS (SELECT 1 FROM range(1, 9) q(q) WHERE abs(k - q * 50.0) <= 1.5 OR q >= 2 AND abs(q * k - 50.0) <= 1.5) AS mains FROM t, (SELECT unnest(range(2, 6)) AS b)""",
     "labelled_files": """WITH f AS (SELECT page_id AS id, lower(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1)) AS stem FROM pages), j AS (SELECT stem, CASE quality WHEN 1 THEN 'healthy' WHEN 0 THEN 'faulty' END AS told FROM f LEFT JOIN labels ON labels.doc_id = f.id)
 SELECT coalesce(told, CASE WHEN regexp_matches(stem, '^[0-9]*[02468]$') THEN 'healthy' ELSE 'faulty' END) AS label, told IS NOT NULL AS by_manifest, count(*) AS files FROM j GROUP BY 1, 2""",
 }
 QUERIES = {f.__name__: f for f in (audio_audit, accel_audit, gain_plan, prepared, signal_level, agc_distance, mel_bank, short_spectra, log_mel, heatmap, scaled_patches, faded, dominant_comb_bin, comb_aliases, pair_report,
-                                   relative_severity, race_evidence, blade_speeds, labelled_files)}
+                                   race_evidence, blade_speeds, labelled_files)}

@@ -9,7 +9,7 @@ from kinemetry.plans import catalog, evaluation, learning, soak
 from kinemetry.sources.readings import table
 
 #: Queries with filters, matrices of 64 components, a chi-square quantile or Spark's hash, which SQL lacks; tested below by computing their rows another way.
-WITHOUT_SQL = {"features37", "learned_thresholds", "ledoit_wolf", "mahalanobis", "held_out_distance", "bootstrap_ci", "rate_bounds", "chosen_regimes", "effective_ranks", "saved_model", "learn_and_score"}
+WITHOUT_SQL = {"features37", "learned_thresholds", "ledoit_wolf", "mahalanobis", "held_out_distance", "bootstrap_ci", "rate_bounds", "chosen_regimes", "effective_ranks", "saved_model", "learn_and_score", "screen_peaks", "physical_severity"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
