@@ -1,7 +1,8 @@
 """Main text of web pages: structure, and differencing against the page of the nearest URL.
 
 A page becomes lines, one per block element. Lines in containers that are never main text (menus,
-footers, forms, adverts, comments, ...) go. If the page marks its article, the article's lines
+footers, forms, adverts, comments, ...) go; words in names decide for small parts only, not for an
+article that holds most of the text nor for paragraphs within one. If the page marks its article, the article's lines
 stay. Else the page is compared with the neighbour of its host whose URL path is nearest: the two
 line lists are aligned by longest common subsequence, and shared lines, the site's frame, go."""
 
@@ -44,6 +45,9 @@ DROPPED_WORDS = frozenset(
     "header footer sidebar aside widget widgets comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "breadcrumb breadcrumbs pagination pager skip search searchbox copyright".split())
+#: Elements of running text, which only these words as whole names drop within an article.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+RUNNING = frozenset("p blockquote pre dl dt dd table caption tbody tr td th".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Pages that share so many hundredths of the text of both are copies, which differencing leaves alone.
 COPY = 98
@@ -60,14 +64,15 @@ class Line(NamedTuple):
 
 class _Open(NamedTuple):
     name: str
-    dropped: bool
+    dropped: int
     article: int
+    doubtful: bool
 
 
-def _hints(name: str, attrs: str, within_article: bool) -> tuple[bool, int]:
-    """Whether an element never holds main text, and how well it marks the article (0 to 2)."""
+def _hints(name: str, attrs: str, within_article: bool) -> tuple[int, int]:
+    """Whether an element never holds main text (2), or none by the words of its names alone (1), and how well it marks the article (0 to 2)."""
     mark = {"article": 2, "main": 1}.get(name, 0)
-    drop = name in DROPPED or name == "header" and not within_article
+    drop, named = name in DROPPED or name == "header" and not within_article, False
     if attrs:
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
         if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
@@ -80,11 +85,13 @@ def _hints(name: str, attrs: str, within_article: bool) -> tuple[bool, int]:
             for w in re.split(r"[^A-Za-z]+", values.get(key, "")):
                 words.add(w.lower())
                 words.update(x.lower() for x in _WORD.findall(w))
-        if name not in ("html", "body", "main", *HEADINGS):
-            drop |= bool(words & (DROPPED_WORDS - {"header"} if within_article else DROPPED_WORDS))
+        if within_article and name in RUNNING:
+            named = any(w.lower() in ADVERTS for key in ("class", "id") for w in values.get(key, "").split())
+        elif name not in ("html", "body", "main", *HEADINGS):
+            named = bool(words & (DROPPED_WORDS - {"header"} if within_article else DROPPED_WORDS))
         if "articlebody" in values.get("itemprop", "").lower():
             mark = 2
-    return drop, 0 if drop else mark
+    return 2 if drop else int(named), 0 if drop else mark
 
 
 def _ended(stack: list[_Open], name: str) -> int | None:
@@ -118,28 +125,31 @@ def _after(page: str, at: int, name: str) -> int:
 
 
 def lines(page: str) -> list[Line]:
-    """The blocks of a page in order, white space made single spaces, without empty ones."""
+    """The blocks of a page in order, white space made single spaces, without empty ones.
+
+    An article that its own names or those around it would drop is doubtful: it counts where it holds most of what the
+    page has beside what is never main text, and no other article stands there."""
     out: list[Line] = []
-    marks: list[int] = []
+    marks: list[tuple[int, bool]] = []
     stack: list[_Open] = []
     buffer: list[str] = []
-    dropped, article = False, 0
+    dropped, article, doubtful = 0, 0, False
 
     def flush() -> None:
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                out.append(Line(text, dropped, False))
-                marks.append(article)
+                out.append(Line(text, dropped > 0, False))
+                marks.append((article, doubtful))
 
     def cut(deep: int) -> None:
-        nonlocal dropped, article
+        nonlocal dropped, article, doubtful
         del stack[deep:]
-        now = stack[-1] if stack else _Open("", False, 0)
-        if (now.dropped, now.article) != (dropped, article):
+        now = stack[-1] if stack else _Open("", 0, 0, False)
+        if now[1:] != (dropped, article, doubtful):
             flush()
-        dropped, article = now.dropped, now.article
+        dropped, article, doubtful = now[1:]
 
     at, end = 0, len(page)
     while at < end:
@@ -148,12 +158,12 @@ def lines(page: str) -> list[Line]:
         if plain:
             if stack and stack[-1].name == "head" and not plain.isspace():  # text ends the head
                 cut(len(stack) - 1)
-            buffer.append(plain)
+            buffer.append(html.unescape(plain))
         if not m:
             break
         at = m.end()
         if m["cdata"] is not None:
-            buffer.append(html.escape(m["cdata"]))
+            buffer.append(m["cdata"])
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
@@ -182,17 +192,22 @@ def lines(page: str) -> list[Line]:
             continue
         drop, mark = _hints(name, attrs, article > 0)
         if name in BLOCK or drop or mark:
-            drop |= dropped
-            new = max(article, mark) if not drop else article
-            if (drop, new) != (dropped, article):
+            drop = max(drop, dropped)
+            marked = drop == 1 and mark > 0 and not (article and not doubtful)
+            new = (0, mark, True) if marked else (drop, article if drop else max(article, mark), doubtful)
+            if new != (dropped, article, doubtful):
                 flush()
-            dropped, article = drop, new
-            stack.append(_Open(name, dropped, article))
+            dropped, article, doubtful = new
+            stack.append(_Open(name, *new))
     flush()
-    sizes = [(a, len(x.text)) for a, x in zip(marks, out, strict=True) if a and not x.dropped]
+    sure = any(a and not d and not x.dropped for (a, d), x in zip(marks, out, strict=True))
+    left = [(d, len(x.text)) for (_, d), x in zip(marks, out, strict=True) if not x.dropped]
+    if sure or 2 * sum(n for d, n in left if d) < sum(n for _, n in left):
+        out = [Line(x.text, x.dropped or d, False) for (_, d), x in zip(marks, out, strict=True)]
+    sizes = [(a, len(x.text)) for (a, _), x in zip(marks, out, strict=True) if a and not x.dropped]
     # a teaser marked as an article inside a longer main part is no article of its own
     least = 2 if 2 * sum(n for a, n in sizes if a == 2) >= sum(n for _, n in sizes) else 1
-    return [Line(x.text, x.dropped, bool(sizes) and a >= least) for x, a in zip(out, marks, strict=True)]
+    return [Line(x.text, x.dropped, bool(sizes) and a >= least) for x, (a, _) in zip(out, marks, strict=True)]
 
 
 def common(a: list[str], b: list[str]) -> set[int]:

@@ -250,6 +250,25 @@ def test_html():
     assert html_extract.lines("") == []
 
 
+def test_html_words_in_names_drop_no_article():
+    of = lambda page: html_extract.main_text(html_extract.lines(page), None)
+    body = "<p>The first paragraph of the article itself.</p><p>And one more that is long enough.</p>"
+    want = "The first paragraph of the article itself.\nAnd one more that is long enough."
+    assert of(f'<nav>Menu</nav><article class="post hentry comment-open">{body}</article><footer>End</footer>') == want
+    assert of(f'<div class="content has-sidebar"><article>{body}</article><div class="sidebar">Links</div></div>') == want
+    assert of(f'<div class="content has-sidebar"><div id="menu">Menu</div><main>{body}</main></div><p>Imprint</p>') == want
+    assert of(f'<article>{body}<p class="share-price">The price rose.</p><blockquote class="alert">Said aloud.</blockquote><div class="share">Share</div></article>') == want + "\nThe price rose.\nSaid aloud."
+    # comments and teasers that call themselves articles stay out, beside an article and beside unmarked text
+    teasers = '<div class="related"><article>Read this too</article></div><ol class="comment-list"><li><article class="comment">I agree</article></li></ol>'
+    assert of(f"<article>{body}</article>{teasers}") == want and of(f"<div>{body}</div>{teasers}") == want
+    assert of(f'<aside><article>{body}</article></aside><p>Own text.</p>') == "Own text."
+
+
+def test_html_references_are_of_one_text_node():
+    of = lambda page: html_extract.main_text(html_extract.lines(page), None)
+    assert of("<p>AT&<b>amp;</b>T</p>") == "AT&amp;T" and of("<p>a&<!-- x -->lt;b &lt;c&gt; &amp;lt;</p>") == "a&lt;b <c> &lt;" and of("<p>x <![CDATA[1 &lt; 2]]></p>") == "x 1 &lt; 2"
+
+
 def test_html_rows(spark):
     rows = [(1, "http://h/a/1", "<p>x</p>"), (2, None, None), (3, "h", "<p>"), (1, "http://h/a/1", "<p>x</p>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
