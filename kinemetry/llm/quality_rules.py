@@ -27,9 +27,9 @@ LEVEL, CHUNK = 3, 4096
 BANDS = ((0, 0.0, 2.0), (256, 0.22, 0.92), (1024, 0.20, 0.80), (4096, 0.18, 0.72), (16384, 0.16, 0.66), (65536, 0.14, 0.62))
 #: Of the chunks of CHUNK bytes, so large a share may lie outside the band of that length.
 BAD_CHUNKS = 0.5
-#: Fitted limits: deviations from the median, parts of an octave of length that share limits, texts
-#: (or chunks) from which a length is fitted, and steps of the ratio that are told apart.
-DEVIATIONS, PER_OCTAVE, LEAST_TEXTS, STEPS = 4.0, 2, 100, 1000
+#: Fitted limits: deviations from the median, parts of an octave of length that share limits, texts (or
+#: chunks) of a length with which its limits lie half way from BANDS, and steps of the ratio that are told apart.
+DEVIATIONS, PER_OCTAVE, HALF_WAY, STEPS = 4.0, 2, 30, 1000
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -66,35 +66,43 @@ def repeated_words(words: list[bytes]) -> int:
     return int(word.sum())
 
 
+#: Fitted bounds of the ratio, and how far they count beside those of BANDS (0 to 1).
+Bounds = tuple[float, float, float]
+
+
 @dataclass
 class Limits:
-    """Fitted bounds of the ratio: by length class of whole texts, and of a chunk; none where too few were seen."""
+    """What was fitted: by length class of whole texts, and of a chunk; none where none was seen."""
 
-    whole: dict[int, tuple[float, float]] = field(default_factory=dict)
-    chunk: tuple[float, float] | None = None
+    whole: dict[int, Bounds] = field(default_factory=dict)
+    chunk: Bounds | None = None
 
 
 def length_class(size: int) -> int:
     return int(math.log2(size) * PER_OCTAVE) if size else 0
 
 
-def in_band(ratio: float, size: int, fitted: tuple[float, float] | None = None) -> bool:
+def in_band(ratio: float, size: int, fitted: Bounds | None = None) -> bool:
+    """Whether a ratio lies in the band of its size, and between its bounds on the way from that band to the fitted ones."""
     _, low, high = next(b for b in reversed(BANDS) if size >= b[0])
-    return low <= ratio <= high and (fitted is None or size < BANDS[1][0] or fitted[0] <= ratio <= fitted[1])
+    if fitted is None or size < BANDS[1][0]:
+        return low <= ratio <= high
+    own_low, own_high, far = fitted
+    return max(low, low + far * (own_low - low)) <= ratio <= min(high, high + far * (own_high - high))
 
 
-def bounds(counts: dict[int, int]) -> tuple[float, float] | None:
-    """Limits from how often each step of the ratio was seen."""
+def bounds(counts: dict[int, int]) -> Bounds:
+    """Limits from how often each step of the ratio was seen. They count the more, the more was seen, without a step:
+    a few texts say little of what is usual, so theirs lie near BANDS."""
     total, seen, at = sum(counts.values()), 0, []
-    if total < LEAST_TEXTS:
-        return None
     for step in sorted(counts):
         seen += counts[step]
         while len(at) < 3 and seen >= total * (0.25, 0.5, 0.75)[len(at)]:
             at.append((step + 0.5) / STEPS)
     low, mid, high = at
     normal = 0.6745  # a quartile of the normal distribution, in deviations
-    return mid - DEVIATIONS * max(mid - low, 1 / STEPS) / normal, mid + DEVIATIONS * max(high - mid, 1 / STEPS) / normal
+    far = total**2 / (total**2 + HALF_WAY**2)
+    return mid - DEVIATIONS * max(mid - low, 1 / STEPS) / normal, mid + DEVIATIONS * max(high - mid, 1 / STEPS) / normal, far
 
 
 def measure(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple:
@@ -120,7 +128,7 @@ def judge(size: int, base: bool, ratio: float, each: list[float], limits: Limits
 
 
 def fit(df: DataFrame, text: str = "text") -> Limits:
-    """Limits from every text that passes the word rules. A length seen in fewer than LEAST_TEXTS texts has none."""
+    """Limits from every text that passes the word rules; each length's count as far as its texts are many (`bounds`)."""
 
     @F.arrow_udf("array<int>")
     def steps(texts: pa.Array) -> pa.Array:
@@ -135,7 +143,7 @@ def fit(df: DataFrame, text: str = "text") -> Limits:
     by: dict[int, dict[int, int]] = {}
     for s, n in seen:
         by.setdefault(s >> 16, {})[s & 0xFFFF] = n
-    found = {k: b for k, counts in by.items() if (b := bounds(counts))}
+    found = {k: bounds(counts) for k, counts in by.items()}
     return Limits({k: b for k, b in found.items() if k >= 0}, found.get(-1))
 
 

@@ -373,12 +373,24 @@ def test_quality_query_is_brute_force(spark, data):
         g, size = got[r.doc_id], len((r.text or "").encode())
         ratios = sorted(seen[quality_rules.length_class(size)])
         inside = True
-        if len(ratios) >= quality_rules.LEAST_TEXTS and size >= 256:
+        if ratios and size >= 256:
             low, mid, high = ((ratios[-(-len(ratios) * k // 4) - 1] + 0.5) / 1000 for k in (1, 2, 3))
-            inside = mid - 4 * max(mid - low, 0.001) / 0.6745 <= g.ratio <= mid + 4 * max(high - mid, 0.001) / 0.6745
+            own = mid - 4 * max(mid - low, 0.001) / 0.6745, mid + 4 * max(high - mid, 0.001) / 0.6745
+            fixed = next(b[1:] for b in reversed(quality_rules.BANDS) if size >= b[0])
+            far = len(ratios) ** 2 / (len(ratios) ** 2 + 30**2)
+            inside = far * own[0] + (1 - far) * fixed[0] <= g.ratio <= far * own[1] + (1 - far) * fixed[1]
         assert g.kept == (not base[r.doc_id] and inside and quality_rules.in_band(g.ratio, size) and g.bad_chunks <= quality_rules.BAD_CHUNKS)
 
 
+def test_quality_limits_have_no_step_in_size():
+    counts = {450: 10, 460: 20, 470: 10}
+    far = [quality_rules.bounds({k: v * n for k, v in counts.items()}) for n in range(1, 60)]
+    assert len({b[:2] for b in far}) == 1 and all(0 < b[2] - a[2] < 0.25 for a, b in zip(far, far[1:], strict=False))
+    one = quality_rules.bounds({450: 1})
+    assert one[2] < 0.01 and quality_rules.in_band(0.3, 2000, one) and quality_rules.in_band(0.7, 2000, one) and not quality_rules.in_band(0.1, 2000, one)
+    assert not quality_rules.in_band(0.3, 2000, far[-1]) and quality_rules.in_band(0.46, 2000, far[-1]) and not quality_rules.in_band(0.9, 2000, (0.0, 1.0, 1.0))
+
+
 def test_quality_bands_reject_planted_texts(spark):
     r = random.Random(7)
     letters = "etaoinshrdlu"
