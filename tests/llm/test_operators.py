@@ -307,6 +307,25 @@ def test_languages_held_out(spark, data):
     assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and odd[3].lang_pred in models.languages and odd[3].fp == "extra"
 
 
+def test_language_rejection_rejects_noise_and_keeps_texts(spark, data):
+    r = random.Random(1)
+    table = common.table(spark, data, "documents")
+    models = language_id.fit(table)
+    real = [x.text for x in table.where("length(text) > 300").limit(40).collect()]
+
+    def shuffled(t):
+        return "".join(r.sample(t, len(t)))
+
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (120, 300, 1000) for _ in range(10)]
+    noise += ["".join(r.choice("абвгдежзийклмнопрстуфх    ") for _ in range(300)) for _ in range(10)]
+    noise += [" ".join(r.choice(["привет", "世界", "hello", "κόσμε", "the", "und"]) for _ in range(60)) for _ in range(10)]
+    noise += ["".join(r.choice("asdfjkl ") for _ in range(300)) for _ in range(10)]
+    got = language_id.label(models, noise + [shuffled(t[:1000]) for t in real]).to_pylist()
+    assert all(x["rejected"] for x in got[:60]) and sum(x["rejected"] for x in got[60:]) >= 0.85 * len(real)
+    own = language_id.label(models, [x.text for x in table.collect()]).to_pylist()
+    assert sum(x["rejected"] for x in own if x["cross_entropy"] is not None) <= 0.01 * len(own)
+
+
 def test_models_are_distributions():
     texts = ["abab abba baab ", "bbb aab ab "]
     sym, at = language_id._letters(texts)
