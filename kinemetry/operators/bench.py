@@ -22,7 +22,7 @@ SEGMENT, FRAME = 4096, 512
 
 
 def _db(x: Column) -> Column:
-    return 20 * F.log10(F.greatest(x, F.lit(1e-12)))
+    return F.when(x.isNotNull(), 20 * F.log10(F.greatest(x, F.lit(1e-12))))
 
 
 def accelerometer(recordings: DataFrame, nominal_hz: float) -> DataFrame:
@@ -77,7 +77,7 @@ def microphone(recordings: DataFrame, fs: float, tone_hz: float) -> DataFrame:
     values = base.select("id", "elapsed_s", F.least(F.size(F.array_distinct(x)), F.lit(VALUES + 1)).alias("values"))
     both = whole.join(values, "id").join(told, "id", "left")
     dc = F.col("s") / F.col("m")
-    alive = F.sqrt(F.greatest(F.col("q") / F.col("m") - dc * dc, F.lit(0.0)))
+    alive = F.when(F.col("m").isNotNull(), F.sqrt(F.greatest(F.col("q") / F.col("m") - dc * dc, F.lit(0.0))))
     out = both.select("id", (100 * (F.col("m") / F.col("elapsed_s") / fs - 1)).alias("rate_off_pct"), dc.alias("dc"), _db(F.sqrt(F.col("q") / F.col("m"))).alias("level_dbfs"), _db(F.col("floor")).alias("floor_dbfs"),
                       "clipped", "tone_off_pct", "prominence_db", "distortion_db", alive.alias("alive"), "values", "peak", "m")
     some = lambda c: F.coalesce(c, F.lit(False))
