@@ -1,76 +1,136 @@
-"""A device's uplink as keyed state: rows in the order of their time, alerts that wait for the link, retention.
+"""Devices' uplinks as keyed state: rows in the order of their time, alerts that wait for the link, retention.
 
-Rows may arrive in any order within the lateness that their watermark allows. Each device buffers what its
-watermark has not passed; a timer of event time then takes the rows in their order through link, gate and queue."""
+Rows may arrive in any order within the lateness that their watermark allows. What the watermark has not passed waits
+in the state; a timer of event time then takes each device's rows in their order through link, gate and queue. A key of
+the outbox's state is a bucket of devices, whose rows wait as blocks: a call from Python to the state store takes
+milliseconds, and there are as many of them as buckets, however many devices there are."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 #: Fixed value: alerts that wait for the link at most; beyond it the oldest go.
 QUEUE = 500
+#: Buckets of devices. A task holds the rows of one at a time; a stream keeps the number that it began with.
+BUCKETS = 1024
+#: Rows of a frame that is handed on.
+ROWS = 50_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ROW = "t double, event_id long, flag boolean, link string"
+ROW = ["device", "known", "t", "event_id", "flag", "link"]
 SENT = "device_id long, event_id long, t double, kind string, sent_t double, place int"
 
 
+def _packed(rows: pd.DataFrame | pa.Table) -> tuple[bytes]:
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(block: tuple[bytes]) -> pa.Table:
+    return pa.ipc.open_stream(block[0]).read_all()
+
+
+def _frame(sent: list[tuple]) -> pd.DataFrame:
+    """Rows of SENT; device ids stay whole numbers beside one that is null."""
+    out = pd.DataFrame(sent, columns=[c.split()[0] for c in SENT.split(", ")])
+    return out.assign(device_id=pd.array([r[0] for r in sent], dtype="Int64"))
+
+
 class Outbox(StatefulProcessor):
-    """Takes rows (device_id, event_id, t, flag, link, ts) through the alert gate and a link that goes down and up
-    (link `down`, `up` or null) and says what is sent: telemetry only while the link is up, each alert at once or
-    when the link comes back, in order, the newest QUEUE of them."""
+    """Takes rows (bucket, device, known, event_id, t, flag, link, ts) of a bucket's devices (no id where not known) through
+    the alert gate and a link that goes down and up (link `down`, `up` or null) and says what is sent: telemetry only
+    while the link is up, each alert at once or when the link comes back, in order, the newest QUEUE of them."""
 
     def __init__(self, need: int, clear: int) -> None:
         self.need, self.clear = need, clear
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
-        self.queue = handle.getListState("queue", "t double, event_id long")
-        self.gate = handle.getValueState("gate", "streak long, quiet long, held boolean, up boolean")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.gates = handle.getValueState("gates", "devices binary")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [(float(t), int(e), bool(f), None if pd.isna(link) else str(link)) for b in rows for t, e, f, link in zip(b["t"], b["event_id"], b["flag"], b["link"], strict=True)]
-        self.waiting.appendList(new)
-        self._wake(min(r[0] for r in new))
-        yield pd.DataFrame(columns=[c.split()[0] for c in SENT.split(", ")])
+        new = pd.concat([b[ROW] for b in rows], ignore_index=True)
+        new = new.assign(event_id=new["event_id"].astype("int64"), flag=new["flag"].fillna(False).astype(bool), link=new["link"].astype("category").cat.set_categories(["down", "up"]).cat.codes)
+        self.waiting.appendValue(_packed(new))
+        self._wake(float(new["t"].min()))
+        yield _frame([])
 
     def _wake(self, t: float) -> None:
-        self.handle.registerTimer(int(t * 1000) + 1)
+        """One timer for the bucket, at its earliest row."""
+        at, had = int(t * 1000) + 1, self.timer.get()
+        if had is None or at < had[0]:
+            if had is not None:
+                self.handle.deleteTimer(had[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() / 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due, later = [r for r in rows if r[0] <= until], [r for r in rows if r[0] > until]
-        self.waiting.put(later) if later else self.waiting.clear()
-        if later:
-            self._wake(later[0][0])
-        streak, quiet, held, up = self.gate.get() if self.gate.exists() else (0, 0, False, True)
-        queue = list(self.queue.get()) if self.queue.exists() else []
+        self.timer.clear()
+        rows = pa.concat_tables([_unpacked(b) for b in self.waiting.get()])
+        is_due = rows["t"].to_numpy() <= until
+        later = rows.filter(pa.array(~is_due))
+        if len(later):
+            self.waiting.put([_packed(later)])
+            self._wake(float(later["t"].to_numpy().min()))
+        else:
+            self.waiting.clear()
+        due = [c.to_numpy()[is_due] for c in rows.select(ROW)]
+        order = np.lexsort([due[i] for i in (5, 4, 3, 2, 0, 1)])  # by device, t, event_id; the last two part rows that came twice
+        device, known, *rest = [c[order] for c in due]
+        ends = np.flatnonzero((device[1:] != device[:-1]) | (known[1:] != known[:-1])) + 1
+        block = self.gates.get()
+        gates = {} if block is None else {(r.pop("device"), r.pop("known")): tuple(r.values()) for r in _unpacked(block).to_pylist()}
         sent = []
-        for t, event, flag, link in due:
-            up = {"up": True, "down": False}.get(link, up)
+        for i, j in zip([0, *ends], [*ends, len(device)], strict=True) if len(device) else ():
+            who = (int(device[i]), bool(known[i]))
+            gates[who] = self._device(who[0] if who[1] else None, gates.get(who, (0, 0, False, True, [], [])), [c[i:j].tolist() for c in rest], sent)
+            if len(sent) >= ROWS:
+                yield _frame(sent)
+                sent = []
+        if len(device):
+            names = ("streak", "quiet", "held", "up", "queue_t", "queue_id")
+            held = [{"device": d, "known": k, **dict(zip(names, g, strict=True))} for (d, k), g in gates.items()]
+            self.gates.update(_packed(pa.Table.from_pylist(held, GATES)))
+        yield _frame(sent)
+
+    def _device(self, device: int | None, gate: tuple, rows: list[list], sent: list[tuple]) -> tuple:
+        """Takes a device's rows (t, event_id, flag, link) in their order through its gate, and adds to `sent`."""
+        streak, quiet, held, up, queue_t, queue_id = gate
+        queue = list(zip(queue_t, queue_id, strict=True))
+        for t, event, flag, link in zip(*rows, strict=True):
+            up = up if link < 0 else link == 1
             streak, quiet = (streak + 1, 0) if flag else (0, quiet + 1)
             fired = flag and not held and streak >= self.need
             held = fired or held and not (not flag and quiet >= self.clear)
             if fired:
                 queue = [*queue, (t, event)][-QUEUE:]
             if up:
-                sent += [(key[0], e, at, "alert", t, i + 1) for i, (at, e) in enumerate(queue)]
-                sent.append((key[0], event, t, "telemetry", t, 0))
+                sent += [(device, e, at, "alert", t, i + 1) for i, (at, e) in enumerate(queue)]
+                sent.append((device, event, t, "telemetry", t, 0))
                 queue = []
-        if due:
-            self.gate.update((streak, quiet, held, up))
-            self.queue.put(queue) if queue else self.queue.clear()
-        yield pd.DataFrame(sent, columns=[c.split()[0] for c in SENT.split(", ")])
+        return streak, quiet, held, up, [q[0] for q in queue], [q[1] for q in queue]
 
     def close(self) -> None:
         pass
 
 
+#: A device of a bucket: its gate, its link and the alerts that wait for it.
+GATES = pa.schema([("device", pa.int64()), ("known", pa.bool_()), ("streak", pa.int64()), ("quiet", pa.int64()), ("held", pa.bool_()), ("up", pa.bool_()),
+                   ("queue_t", pa.list_(pa.float64())), ("queue_id", pa.list_(pa.int64()))])
+
+
 class Retained(StatefulProcessor):
     """Keeps each device's rows (device_id, event_id, t, ts) for `keep_s` seconds of event time, says `stored` of each new
     one and `pruned` of each that goes. A row delivered again changes nothing; one that is too old by now isn't stored."""
@@ -107,16 +167,20 @@ class Retained(StatefulProcessor):
         pass
 
 
-def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
+def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.withWatermark("ts", late).groupBy("device_id").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    return rows.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
-def sent(rows: DataFrame, need: int, clear: int, late: str = "2 hours") -> DataFrame:
-    """What the devices of a stream (device_id, event_id, t, flag, link, ts) send (SENT): see Outbox."""
-    return _stateful(rows, Outbox(need, clear), SENT, late)
+def sent(rows: DataFrame, need: int, clear: int, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
+    """What the devices of a stream (device_id, event_id, t, flag, link, ts) send (SENT): see Outbox. Rows without a time
+    never come to their turn."""
+    dealt = rows.where("t is not null and ts is not null").select(
+        F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int").alias("bucket"), F.coalesce("device_id", F.lit(0)).cast("long").alias("device"),
+        F.col("device_id").isNotNull().alias("known"), "t", "event_id", "flag", "link", "ts")
+    return _stateful(dealt, "bucket", Outbox(need, clear), SENT, late)
 
 
 def retained(rows: DataFrame, keep_s: float, late: str = "2 hours") -> DataFrame:
     """What the store of a stream (device_id, event_id, t, ts) does with its rows: see Retained."""
-    return _stateful(rows, Retained(keep_s), "device_id long, event_id long, t double, action string", late)
+    return _stateful(rows, "device_id", Retained(keep_s), "device_id long, event_id long, t double, action string", late)

@@ -83,6 +83,28 @@ def test_shuffled_rows_leave_the_outbox_in_order(spark, tmp_path, monkeypatch):
     assert len(late) == outbox.QUEUE and late[0][1] > 200
 
 
+def test_outbox_state_has_a_key_per_bucket_not_per_device(spark, tmp_path):
+    r = random.Random(3)
+    devices = [None, 0, 2**53 + 1, *range(1, 120)]
+    rows = [(d, 100 * k + i, START.timestamp() + 60.0 * i + k / 8, r.random() < 0.7, r.choice([None, None, "down", "up"])) for i in range(12) for k, d in enumerate(devices)]
+    rows.append(rows[40])  # came twice
+    cut = len(rows) // 2
+    rows = [(8, 5, None, True, None), *rows]  # without a time
+    batches = [rows[:cut], [(999, 1, START.timestamp() + 9000, False, None), *rows[cut:]], [(999, 2, START.timestamp() + 90000, False, None)]]
+    schema = "device_id long, event_id long, t double, flag boolean, link string, ts timestamp"
+    full = [[(*x, x[2] and dt.datetime.fromtimestamp(x[2], dt.timezone.utc)) for x in b] for b in batches]
+    out = outbox.sent(stream_of(spark, tmp_path, schema, full), 2, 1)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(-1 if x.device_id is None else x.device_id, x.event_id, x.kind, x.sent_t, x.place) for x in spark.read.parquet(str(tmp_path / "out")).collect() if x.device_id != 999]
+    assert sorted(got) == outbox_of([(-1 if r[0] is None else r[0], *r[1:]) for r in rows[1:]], 2, 1)
+    # after the first batch the rows wait in a block, under the keys of the buckets they fell into
+    small = outbox.sent(stream_of(spark, tmp_path / "b", schema, full[:1]), 2, 1, buckets=4)
+    q = small.writeStream.format("parquet").option("path", str(tmp_path / "b" / "out")).option("checkpointLocation", str(tmp_path / "b" / "at")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] < 30
+
+
 def test_state_keeps_a_week_and_knows_what_came_twice(spark, tmp_path):
     schema = "device_id long, event_id long, t double, ts timestamp"
     row = lambda event, hours: (1, event, at(hours).timestamp(), at(hours))
