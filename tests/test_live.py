@@ -43,6 +43,19 @@ def test_commands_name_stored_windows_and_late_rows_are_dropped(spark, tmp_path)
     assert got == [2, 4, 5, 6, 7, 8]
 
 
+def test_readings_wait_for_commands_of_their_day_in_one_store(spark, tmp_path):
+    reading, command = "device_id long, event_id long, score double, ts timestamp", "device_id long, ts_from timestamp, ts_to timestamp, issued timestamp"
+    readings = [(1, i, 0.5, at(i)) for i in range(24 * 9)]
+    said = [(1, at(-900), at(900), at(200)), (1, at(20), at(50), at(60)), (1, at(9), at(5), at(60)), (1, None, at(5), at(6)), (1, at(1), None, at(6)), (1, at(1), at(5), None)]
+    r, c = stream_of(spark, tmp_path / "r", reading, [readings]), stream_of(spark, tmp_path / "c", command, [said])
+    q = commands.named(r, c).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(x.event_id for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [*range(20, 201)]
+    join = next(o for o in q.recentProgress[0]["stateOperators"] if o["operatorName"] == "symmetricHashJoin")
+    assert join["numStateStoreInstances"] == join["numShufflePartitions"]
+    assert any(m.startswith("rocksdb") for m in join["customMetrics"])
+
+
 def outbox_of(rows, need, clear):
     """The same in order, device by device."""
     out = []
