@@ -24,6 +24,7 @@ BUCKETS = 1024
 ROWS = 50_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROW = ["device", "known", "t", "event_id", "flag", "link"]
+HELD = ["device", "known", "t", "event_id"]
 SENT = "device_id long, event_id long, t double, kind string, sent_t double, place int"
 
 
@@ -45,7 +46,27 @@ def _frame(sent: list[tuple]) -> pd.DataFrame:
     return out.assign(device_id=pd.array([r[0] for r in sent], dtype="Int64"))
 
 
-class Outbox(StatefulProcessor):
+class _OfBucket(StatefulProcessor):
+    """State of a bucket of devices: rows as blocks, and one timer, at what is due first."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, t: float, after: int = 0) -> None:
+        at, had = max(int(t * 1000) + 1, after + 1), self.timer.get()
+        if had is None or at < had[0]:
+            if had is not None:
+                self.handle.deleteTimer(had[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+class Outbox(_OfBucket):
     """Takes rows (bucket, device, known, event_id, t, flag, link, ts) of a bucket's devices (no id where not known) through
     the alert gate and a link that goes down and up (link `down`, `up` or null) and says what is sent: telemetry only
     while the link is up, each alert at once or when the link comes back, in order, the newest QUEUE of them."""
@@ -54,10 +75,8 @@ class Outbox(StatefulProcessor):
         self.need, self.clear = need, clear
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "rows binary")
+        super().init(handle)
         self.gates = handle.getValueState("gates", "devices binary")
-        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat([b[ROW] for b in rows], ignore_index=True)
@@ -66,15 +85,6 @@ class Outbox(StatefulProcessor):
         self._wake(float(new["t"].min()))
         yield _frame([])
 
-    def _wake(self, t: float) -> None:
-        """One timer for the bucket, at its earliest row."""
-        at, had = int(t * 1000) + 1, self.timer.get()
-        if had is None or at < had[0]:
-            if had is not None:
-                self.handle.deleteTimer(had[0])
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
-
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() / 1000
         self.timer.clear()
@@ -83,7 +93,7 @@ class Outbox(StatefulProcessor):
         later = rows.filter(pa.array(~is_due))
         if len(later):
             self.waiting.put([_packed(later)])
-            self._wake(float(later["t"].to_numpy().min()))
+            self._wake(float(later["t"].to_numpy().min()), timerValues.getCurrentWatermarkInMs())
         else:
             self.waiting.clear()
         due = [c.to_numpy()[is_due] for c in rows.select(ROW)]
@@ -122,65 +132,68 @@ class Outbox(StatefulProcessor):
                 queue = []
         return streak, quiet, held, up, [q[0] for q in queue], [q[1] for q in queue]
 
-    def close(self) -> None:
-        pass
-
 
 #: A device of a bucket: its gate, its link and the alerts that wait for it.
 GATES = pa.schema([("device", pa.int64()), ("known", pa.bool_()), ("streak", pa.int64()), ("quiet", pa.int64()), ("held", pa.bool_()), ("up", pa.bool_()),
                    ("queue_t", pa.list_(pa.float64())), ("queue_id", pa.list_(pa.int64()))])
 
 
-class Retained(StatefulProcessor):
-    """Keeps each device's rows (device_id, event_id, t, ts) for `keep_s` seconds of event time, says `stored` of each new
-    one and `pruned` of each that goes. A row delivered again changes nothing; one that is too old by now isn't stored."""
+class Retained(_OfBucket):
+    """Keeps the rows (bucket, device, known, event_id, t, ts) of a bucket's devices for `keep_s` seconds of event time, says
+    `stored` of each new one and `pruned` of each that goes. A row delivered again changes nothing; one that is too old
+    by now isn't stored."""
 
     def __init__(self, keep_s: float) -> None:
         self.keep_s = keep_s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getMapState("rows", "event_id long", "t double")
+    def _oldest(self, timerValues: TimerValues) -> float:
+        return timerValues.getCurrentWatermarkInMs() / 1000 - self.keep_s
+
+    def _held(self) -> pd.DataFrame:
+        return pa.concat_tables([_unpacked(b) for b in self.waiting.get()]).to_pandas() if self.waiting.exists() else pd.DataFrame(columns=HELD)
+
+    def _said(self, rows: pd.DataFrame, action: str) -> pd.DataFrame:
+        device = rows["device"].astype("Int64").where(rows["known"].astype(bool))
+        return pd.DataFrame({"device_id": device, "event_id": rows["event_id"].astype("int64"), "t": rows["t"].astype(float), "action": action})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        oldest, new = timerValues.getCurrentWatermarkInMs() / 1000 - self.keep_s, []
-        for event, t in ((int(e), float(t)) for b in rows for e, t in zip(b["event_id"], b["t"], strict=True)):
-            if t > oldest and not self.rows.containsKey((event,)):
-                self.rows.updateValue((event,), (t,))
-                new.append((key[0], event, t, "stored"))
-        if new:
-            self.handle.registerTimer(int((min(r[2] for r in new) + self.keep_s) * 1000) + 1)
-        yield pd.DataFrame(new, columns=["device_id", "event_id", "t", "action"])
+        new = pd.concat([b[HELD] for b in rows], ignore_index=True)
+        new = new[new["t"] > self._oldest(timerValues)].astype({"event_id": "int64"})
+        held, by = self._held(), ["device", "known", "event_id"]
+        every = pd.concat([held[by], new[by]]) if len(held) else new[by]
+        new = new[~every.duplicated().to_numpy()[len(held) :]]
+        if len(new):
+            self.waiting.appendValue(_packed(new))
+            self._wake(float(new["t"].min()) + self.keep_s)
+        yield self._said(new, "stored")
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        oldest = timerValues.getCurrentWatermarkInMs() / 1000 - self.keep_s
-        every = [(e[0], t[0]) for e, t in self.rows.iterator()]
-        gone = [(e, t) for e, t in every if t <= oldest]
-        for e, _ in gone:
-            self.rows.removeKey((e,))
-        left = [t for _, t in every if t > oldest]
-        if left:
-            self.handle.registerTimer(int((min(left) + self.keep_s) * 1000) + 1)
-        yield pd.DataFrame([(key[0], e, t, "pruned") for e, t in gone], columns=["device_id", "event_id", "t", "action"])
-
-    def close(self) -> None:
-        pass
+        self.timer.clear()
+        held = self._held()
+        gone = held["t"] <= self._oldest(timerValues)
+        left = held[~gone]
+        if len(left):
+            self.waiting.put([_packed(left)])
+            self._wake(float(left["t"].min()) + self.keep_s, timerValues.getCurrentWatermarkInMs())
+        else:
+            self.waiting.clear()
+        yield self._said(held[gone], "pruned")
 
 
-def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
+def _stateful(rows: DataFrame, columns: list[str], processor: StatefulProcessor, schema: str, late: str, buckets: int) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    dealt = rows.where("t is not null and ts is not null").select(
+        F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int").alias("bucket"), F.coalesce("device_id", F.lit(0)).cast("long").alias("device"),
+        F.col("device_id").isNotNull().alias("known"), *columns, "ts")
+    return dealt.withWatermark("ts", late).groupBy("bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
 def sent(rows: DataFrame, need: int, clear: int, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """What the devices of a stream (device_id, event_id, t, flag, link, ts) send (SENT): see Outbox. Rows without a time
     never come to their turn."""
-    dealt = rows.where("t is not null and ts is not null").select(
-        F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int").alias("bucket"), F.coalesce("device_id", F.lit(0)).cast("long").alias("device"),
-        F.col("device_id").isNotNull().alias("known"), "t", "event_id", "flag", "link", "ts")
-    return _stateful(dealt, "bucket", Outbox(need, clear), SENT, late)
+    return _stateful(rows, ROW[2:], Outbox(need, clear), SENT, late, buckets)
 
 
-def retained(rows: DataFrame, keep_s: float, late: str = "2 hours") -> DataFrame:
+def retained(rows: DataFrame, keep_s: float, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """What the store of a stream (device_id, event_id, t, ts) does with its rows: see Retained."""
-    return _stateful(rows, "device_id", Retained(keep_s), "device_id long, event_id long, t double, action string", late)
+    return _stateful(rows, HELD[2:], Retained(keep_s), "device_id long, event_id long, t double, action string", late, buckets)

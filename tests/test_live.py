@@ -126,6 +126,20 @@ def test_state_keeps_a_week_and_knows_what_came_twice(spark, tmp_path):
     assert sorted(got) == sorted([(e, "stored") for e in (1, 2, 3, 4, 5, 6, 7)] + [(1, "pruned"), (2, "pruned")])
 
 
+def test_retention_state_has_a_key_per_bucket_not_per_row(spark, tmp_path):
+    schema = "device_id long, event_id long, t double, ts timestamp"
+    row = lambda device, event, hours: (device, event, at(hours).timestamp(), at(hours))
+    old = [row(d, 1, 0.01 * i) for i, d in enumerate([None, 0, 2**53 + 1, *range(1, 60)])]
+    batches = [[*old, row(7, 2, 100), old[5]], [*old[3:9], (5, 9, None, None), row(None, 2, 171)], [row(7, 3, 300)]]
+    out = outbox.retained(stream_of(spark, tmp_path, schema, batches), store.KEEP, buckets=4)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((str(x.device_id), x.event_id, x.action) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    ids = [(str(r[0]), r[1]) for r in old] + [("7", 2), ("None", 2), ("7", 3)]
+    assert got == sorted([(*i, "stored") for i in ids] + [(*i, "pruned") for i in ids[: len(old) + 1]])
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] < 30
+
+
 class Stopped(Exception):
     pass
 
