@@ -225,6 +225,47 @@ def test_line_dedup_of_lines_of_few_words(spark):
     assert [(x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()] == want
 
 
+def test_line_dedup_meets_in_one_exchange(spark):
+    # the two sides of the index read one exchange of its rows; they had one each, and both were on disk at once
+    sets = line_dedup._sets(docs(spark, ["a b c d e f", "a b c d e f g"]).withColumnRenamed("doc_id", "doc")).withColumn("there", F.col("at") > 0)
+    was = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup._meetings(sets)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was[1])
+    assert "SortMergeJoin" in plan and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_line_dedup_of_groups_above_the_limit(spark, monkeypatch, hot):
+    # lines that vary around a few, held against the earliest at any limit; and long ones, with all parity bits
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(hot)
+    bases = [[f"w{r.randrange(3000)}" for _ in range(k)] for k in (6, 9, 20, 40, 100, 200)]
+    texts = []
+    for _ in range(40):
+        lines = []
+        for base in bases:
+            line = list(base)
+            for _ in range(r.randrange(0, 2 + len(base) // 6)):
+                line[r.randrange(len(line))] = f"x{r.randrange(10**6)}"
+            lines.append(" ".join(line))
+        texts.append("\n".join(lines))
+    earlier, want = [], []
+    for t in texts:
+        kept = []
+        for line in t.split("\n"):
+            s = set(line.split())
+            if not any(5 * len(s & e) >= 4 * len(s | e) for e in earlier):
+                kept.append(line)
+            earlier.append(s)
+        want.append("\n".join(kept))
+    assert [x.text for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()] == want
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "", None, "<\\|x <\\\\| <|", "é\n\U0001f600", "<", "|im_end|>"]
     rows = [(i % 3, i, ("user", "assistant", "a\nb\\<|")[i % 3], t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (2, 1, "assistant", "tie")]
