@@ -34,7 +34,7 @@ SHUFFLED = 20_000
 #: Parts of a language that are ranked apart, each count dividing the one before, down to the whole: one language may
 #: hold most rows, and no later step ranks more than 16 parts' rows in one task.
 PARTS = (256, 16, 1)
-BITS, BLOCK = 12, 1_000_000
+BITS, BLOCK = 12, 250_000
 SPACE = 32
 
 
