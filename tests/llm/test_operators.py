@@ -266,6 +266,39 @@ def test_line_dedup_of_groups_above_the_limit(spark, monkeypatch, hot):
     assert [x.text for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()] == want
 
 
+def test_line_dedup_hot_words_are_those_of_like_lines(spark, monkeypatch):
+    # a word in many prefixes is held against the earliest line only where lines are of one size; it was wherever it stood
+    monkeypatch.setattr(line_dedup, "HOT", 32)
+    spread = [" ".join(["rare", *(f"w{k}x{i}" for i in range(2 * k))]) for k in range(4, 44)]
+    alike = [" ".join(["often", *(f"v{k}x{i}" for i in range(9))]) for k in range(200)]
+    for texts, some in ((spread, False), (alike, True)):
+        sets = spark.createDataFrame([(k, 0, len(t.split()), 0, None, [0, 1 + k]) for k, t in enumerate(texts)], "doc long, at int, n int, b long, c long, prefix array<int>")
+        assert line_dedup._hot(sets).isEmpty() != some
+
+
+def test_line_dedup_meets_over_the_bounds_of_sizes(spark):
+    # lines of 4/5 of each other's words on either side of a power of two, in both orders; lines two octaves apart don't meet
+    texts, want = [], []
+    for k, (small, large) in enumerate([(7, 8), (13, 16), (14, 17), (26, 32), (15, 16), (52, 65), (51, 64)]):
+        words = [f"s{k}x{i}" for i in range(large)]
+        pair = [" ".join(words[:small]), " ".join(words)]
+        texts += pair[:: -1 if k % 2 else 1]
+        want += [0, int(5 * small >= 4 * large)]
+    got = [r.n_removed for r in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == want and 0 in want[1::2] and 1 in want[1::2]
+    sets = spark.createDataFrame([(0, 0, 5, 0, None, [9], False), (1, 0, 40, 0, None, [9], False)], "doc long, at int, n int, b long, c long, prefix array<int>, there boolean")
+    assert line_dedup._meetings(sets).isEmpty()
+
+
+def test_line_dedup_in_any_order_of_words(spark, monkeypatch):
+    # rarity is counted in some documents only; the result doesn't depend on which
+    r = random.Random(8)
+    texts = ["\n".join(" ".join(r.choice("abcdefghijkl") for _ in range(r.randrange(4, 20))) for _ in range(6)) for _ in range(30)]
+    whole = [tuple(x) for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(line_dedup, "COUNTED", 3)
+    assert [tuple(x) for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()] == whole
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "", None, "<\\|x <\\\\| <|", "é\n\U0001f600", "<", "|im_end|>"]
     rows = [(i % 3, i, ("user", "assistant", "a\nb\\<|")[i % 3], t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (2, 1, "assistant", "tie")]
