@@ -239,6 +239,13 @@ def test_line_dedup_meets_in_one_exchange(spark):
     assert "SortMergeJoin" in plan and "ReusedExchange" in plan
 
 
+def test_line_dedup_meets_by_one_number(spark):
+    # rows of the index are sorted by one whole number, word and octave together; they had two keys, and Spark compared whole rows
+    sets = line_dedup._sets(docs(spark, ["a b c d e f", "a b c d e f g"]).withColumnRenamed("doc_id", "doc")).withColumn("there", F.col("at") > 0)
+    index = line_dedup._meetings(sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(key#" in index and "octave#" not in index.split("Join Inner")[1].split("\n")[0]
+
+
 @pytest.mark.parametrize("hot", [1, 4, 1000])
 def test_line_dedup_of_groups_above_the_limit(spark, monkeypatch, hot):
     # lines that vary around a few, held against the earliest at any limit; and long ones, with all parity bits
